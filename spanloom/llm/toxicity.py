@@ -1,11 +1,12 @@
-"""Toxicity: a linear classifier over words, regularised by counterfactuals.
+"""Toxicity: a linear classifier over words and stems, regularised by counterfactuals.
 
 In each labelled text that has identity terms, every term is swapped for another of its group; the logistic loss gets
 a penalty on the squared change of the score's log odds between text and swapped text. A term that only travels with
 toxic labels then earns no weight of its own, and neutral mentions of a group are not flagged.
 
-The model is fitted on at most `sample_rows` labelled rows, chosen by a hash of the id, over the `vocabulary` words
-whose document counts differ most between the classes in that sample (and every identity term seen).
+Features are words and word stems. The model is fitted on at most `sample_rows` labelled rows, chosen by a hash of the
+id, over the `vocabulary` features whose document counts differ most between the classes in that sample, and every
+identity term seen.
 
 Defined results: null and empty texts score by the intercept; null labels are not learnt from; repeated rows and labels
 each count; without labels, or without both classes, every score is the smoothed base rate; rows with a null id are
@@ -14,6 +15,8 @@ scored; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from spanloom.llm.common import bucket_of, ids_and_text
 #: Bound of the labelled sample.
 SAMPLE_ROWS = 20_000
 VOCABULARY = 2048
-#: Words in fewer texts of the sample than this are not learnt from.
+#: Features in fewer texts of the sample than this are not learnt from.
 LEAST_TEXTS = 4
 #: Identity terms by group, interchangeable inside a group. Fixed values.
 IDENTITY_GROUPS = (
@@ -42,6 +45,11 @@ IDENTITY_GROUPS = (
 )
 
 
+IDENTITY = {w.encode(): tuple(t.encode() for t in g) for g in IDENTITY_GROUPS for w in g}
+#: Stem lengths in bytes.
+STEMS = (5, 7)
+
+
 def _letters() -> bytes:
     return bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -49,9 +57,26 @@ def _letters() -> bytes:
 LETTERS = _letters()
 
 
-def word_set(text: bytes) -> set[bytes]:
-    """Distinct runs of letters, A-Z lower-cased; other bytes split words."""
-    return set(text.translate(LETTERS).split())
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of letters, A-Z lower-cased; other bytes split words."""
+    return text.translate(LETTERS).split()
+
+
+def features(words: list[bytes]) -> set[bytes]:
+    """Distinct words; with one star the stems (first STEMS bytes) of longer words, with two stars those of two words or more."""
+    out = set(words)
+    for k in STEMS:
+        stems = Counter([w[:k] for w in words if len(w) > k])
+        out.update([s + b"*" for s in stems])
+        out.update([s + b"**" for s, n in stems.items() if n > 1])
+    return out
+
+
+def swaps(words: list[bytes]) -> list[list[bytes]]:
+    """The text with every identity term moved on by 1, 2, ... places in its group; none if it has no such term."""
+    width = max((len(IDENTITY[w]) for w in IDENTITY.keys() & set(words)), default=1)
+    move = lambda w, n: IDENTITY[w][(IDENTITY[w].index(w) + n) % len(IDENTITY[w])] if w in IDENTITY else w
+    return [[move(w, n) for w in words] for n in range(1, width)]
 
 
 class Linear:
@@ -61,7 +86,7 @@ class Linear:
         self.weights, self.base, self.known = weights, base, frozenset(weights)
 
     def probability(self, texts) -> np.ndarray:
-        z = np.array([self.base + sum(self.weights[w] for w in sorted(word_set(t) & self.known)) for t in texts])
+        z = np.array([self.base + sum(self.weights[w] for w in sorted(features(words_of(t)) & self.known)) for t in texts])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -71,8 +96,8 @@ def _csr(rows: list[list[int]]):
     return cols, np.repeat(np.arange(len(rows)), sizes)
 
 
-def fit(texts: list[bytes], y: np.ndarray, vocabulary: int = VOCABULARY, l2: float = 3e-4, pairing: float = 1.0, steps: int = 400) -> Linear:
-    """texts: the distinct words of each, joined by spaces. Logistic loss + l2 + pairing * mean squared change of log odds under identity swaps, by accelerated gradient steps."""
+def fit(texts: list[bytes], y: np.ndarray, swapped: list[list[bytes]], vocabulary: int = VOCABULARY, l2: float = 1e-4, pairing: float = 1.0, steps: int = 400) -> Linear:
+    """texts: the features of each, joined by spaces; swapped: those of its swaps. Logistic loss + l2 + pairing * mean squared change of log odds under identity swaps, by accelerated gradient steps."""
     n, ones = len(texts), float(y.sum())
     base = float(np.log((ones + 1) / (n - ones + 1)))
     if not 0 < ones < n:
@@ -81,8 +106,6 @@ def fit(texts: list[bytes], y: np.ndarray, vocabulary: int = VOCABULARY, l2: flo
     for words, label in zip(texts, y.astype(int).tolist()):
         for w in words.split():
             df.setdefault(w, [0, 0])[label] += 1
-    identity = {w: g for g in IDENTITY_GROUPS for w in map(str.encode, g)}
-
     def contrast(w):
         c0, c1 = df[w]
         r0, r1 = (c0 + 0.5) / (n - ones + 1), (c1 + 0.5) / (ones + 1)
@@ -90,23 +113,14 @@ def fit(texts: list[bytes], y: np.ndarray, vocabulary: int = VOCABULARY, l2: flo
 
     often = [w for w, (a, b) in df.items() if a + b >= LEAST_TEXTS]
     picked = sorted(often, key=lambda w: (-contrast(w), w))[:vocabulary]
-    names = sorted(set(picked) | {w for g in IDENTITY_GROUPS for w in map(str.encode, g) if w in df})
+    names = sorted(set(picked) | (IDENTITY.keys() & df.keys()))
     at = {w: i for i, w in enumerate(names)}
     x = [sorted(at[w] for w in words.split() if w in at) for words in texts]
     pair_a, pair_b = [], []
-    for words in (t.split() for t in texts):
-        own = sorted(w for w in words if w in identity)
-        if not own:
-            continue
-        width = max(len(identity[w]) for w in own)
-        for shift in range(1, width):
-            swapped = set(words)
-            for w in own:
-                g = [t.encode() for t in identity[w]]
-                swapped.discard(w)
-                swapped.add(g[(g.index(w) + shift) % len(g)])
-            pair_a.append([at[w] for w in words if w in at])
-            pair_b.append([at[w] for w in swapped if w in at])
+    for own, others in zip(x, swapped):
+        for other in others:
+            pair_a.append(own)
+            pair_b.append(sorted(at[w] for w in other.split() if w in at))
     cols, rows = _csr(x)
     ca, ra = _csr(pair_a)
     cb, rb = _csr(pair_b)
@@ -144,12 +158,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **
     rows = ids_and_text(docs).join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("id", "y", "text")
 
     def kernel(batches):
+        join = lambda words: b" ".join(sorted(features(words)))
         for b in batches:
-            words = [b" ".join(sorted(word_set(t.as_py()))) for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["id", "y", "words"])
-
-    got = rows.mapInArrow(kernel, "id long, y double, words binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending"), ("words", "ascending")])
-    return fit(got.column("words").to_pylist(), (got.column("y").to_numpy() > 0.5).astype(float), **fitting)
+            texts = [words_of(t.as_py()) for t in b.column(2).cast(pa.binary())]
+            own = pa.array([join(w) for w in texts], pa.binary())
+            swapped = pa.array([[join(s) for s in swaps(w)] for w in texts], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, swapped], names=["id", "y", "own", "swapped"])
+
+    got = rows.mapInArrow(kernel, "id long, y double, own binary, swapped array<binary>").toArrow()
+    got = got.sort_by([("id", "ascending"), ("y", "ascending"), ("own", "ascending")])
+    y = (got.column("y").to_numpy() > 0.5).astype(float)
+    return fit(got.column("own").to_pylist(), y, got.column("swapped").to_pylist(), **fitting)
 
 
 def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
