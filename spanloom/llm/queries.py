@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, mixing, pii, quality, simhash, sketch, toxicity, urls
+from spanloom.llm import chat, decontaminate, mixing, ngram, pii, quality, simhash, sketch, toxicity, urls
 from spanloom.llm.common import bucket_of
 
 
@@ -63,6 +63,12 @@ from t group by conv_id
 """
 
 
+def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = bucket_of(F.col("id"), 7)
+    out = ngram.score(table(spark, sf_dir, "documents"), part != 2, F.pmod(F.xxhash64("id"), F.lit(ngram.DELETED_SHARE)) == 0)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -177,6 +183,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_chat": op3_chat,
+    "op4_ngram": op4_ngram,
     "op5_decontaminate": op5_decontaminate,
     "op6_sketch": op6_sketch,
     "op7_toxicity": op7_toxicity,
