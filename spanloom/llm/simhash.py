@@ -176,20 +176,81 @@ def flip_rate(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def probable_links(prints: DataFrame, width: int, similarity: float, key_bits: int, recall: float, slack: float, tile: int) -> DataFrame:
-    """prints (node, w0 ..) -> forest (a, b) of links within the radius of `similarity`, plus `slack` standard deviations."""
-    bits, flip = 64 * width, flip_rate(similarity)
+def probable_links(prints: DataFrame, width: int, similarity: float, key_bits: int, recall: float, slack: float, tile: int, compared: int = 2) -> DataFrame:
+    """prints (node, w0 ..) -> forest (a, b) of links that may have the similarity.
+
+    Rows meet under random subsets of key_bits of all bits, as many subsets as the recall needs; of those that meet, the
+    first `compared` words are held against the radius of the similarity plus `slack` standard deviations.
+    """
+    flip, bits = flip_rate(similarity), 64 * compared
     radius = math.floor(bits * flip + slack * math.sqrt(bits * flip * (1 - flip)))
     rng = np.random.default_rng(20260)
     keys = []
     for t in range(tables_needed(flip, key_bits, recall)):
         masks = [0] * width
-        for b in rng.choice(bits, key_bits, replace=False).tolist():
+        for b in rng.choice(64 * width, key_bits, replace=False).tolist():
             masks[b // 64] |= 1 << (b % 64)
         parts = [F.col(f"w{c}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in enumerate(masks) if m]
         keys.append(F.xxhash64(F.lit(t), *parts))
-    rows = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *(f"w{c}" for c in range(width)))
-    return _meet(rows, width, radius, tile)
+    rows = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *(f"w{c}" for c in range(compared)))
+    return _meet(rows, compared, radius, tile)
+
+
+def jaccard_links(sets: list[np.ndarray], similarity: float):
+    """Yield (i, j) index arrays of the sets whose Jaccard similarity reaches `similarity`: overlaps counted over postings."""
+    sizes = np.array([len(s) for s in sets])
+    hashes, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(ids, kind="stable")
+    postings = owner[order]
+    start = np.searchsorted(ids[order], np.arange(len(hashes) + 1))
+    ends = np.cumsum(sizes)
+    for i in range(len(sets)):
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        counts = start[own + 1] - start[own]
+        at = np.repeat(start[own] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        overlap = np.bincount(postings[at], minlength=len(sets))
+        j = np.flatnonzero(overlap[:i] >= similarity * (sizes[:i] + sizes[i] - overlap[:i]))
+        if len(j):
+            yield j, np.full(len(j), i)
+
+
+def _proved(members: DataFrame, k: int, similarity: float, tile: int) -> DataFrame:
+    """members (class, n, node, text) of candidate classes with n nodes -> forest (a, b) of their links of exact Jaccard similarity.
+
+    Classes of more than `tile` nodes are compared by pairs of tiles, each in a task of its own.
+    """
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    rows = (
+        members.withColumn("own", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        .select("class", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "node", "text")
+        .repartition("class", "ta", "tb")
+        .sortWithinPartitions("class", "ta", "tb")
+    )
+
+    def kernel(batches):
+        def links(nodes, sets):
+            root = forest(len(nodes), jaccard_links(sets, similarity)) if len(nodes) > 1 else np.zeros(1, dtype=np.int64)
+            at = np.flatnonzero(root != np.arange(len(nodes)))
+            nodes = np.array(nodes, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["a", "b"])
+
+        last, nodes, sets = None, [], []
+        for b in batches:
+            group = list(zip(*(b.column(c).to_pylist() for c in range(3))))
+            for g, node, t in zip(group, b.column(3).to_pylist(), b.column(4).cast(pa.binary())):
+                if g != last and nodes:
+                    yield links(nodes, sets)
+                    nodes, sets = [], []
+                last = g
+                nodes.append(node)
+                h = np.unique(shingle_hashes(t.as_py(), k))
+                sets.append(h if len(h) else np.zeros(1, dtype=np.uint64))
+        if nodes:
+            yield links(nodes, sets)
+
+    return rows.mapInArrow(kernel, "a long, b long")
 
 
 def near_classes(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -203,51 +264,63 @@ def near_classes(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str = "do
     return prints.withColumnRenamed("w0", "fp").join(classes, "fp").select("id", "fp", "component")
 
 
+#: Up to so many keys a join that only selects rows of whole texts broadcasts the keys (16 bytes each); beyond, it shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def drop_near_duplicates(
     docs: DataFrame,
     similarity: float = 0.8,
     k: int = 5,
     width: int = 8,
     key_bits: int = 16,
-    recall: float = 0.98,
-    slack: float = 2.0,
+    recall: float = 0.99,
+    slack: float = 3.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     tile: int = TILE,
+    proof_tile: int = 512,
 ) -> DataFrame:
-    """docs with one row of each near-duplicate class: that of the smallest id (null last), ties by text.
+    """docs with one row of each near-duplicate class: that of the smallest id (null last), ties by a hash of the text.
 
-    Classes join texts whose k-word shingle sets have the Jaccard similarity or more, as estimated by SimHashes of
-    64 * width bits; equal texts always share a class. Every column of docs is kept. Raise key_bits with the logarithm
+    Classes join texts whose k-word shingle sets have the Jaccard similarity or more; equal texts always share a class.
+    SimHash finds candidate classes (with the given recall for a pair of just that similarity, more above it), and inside
+    them every pair is proved on its whole shingle sets. Every column of docs is kept. Raise key_bits with the logarithm
     of the corpus (16 suits some ten million texts): recall is kept, as the number of bit subsets follows.
     """
-    key, rank = fresh(docs, "text_key", "rank")
+    key, rank, n = fresh(docs, "text_key", "rank_id", "row_count")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn(key, F.xxhash64(text, F.length(text)))
-    words = [f"w{c}" for c in range(width)]
     # One fingerprint for each text: equal texts meet by a partial aggregation on their hash.
-    prints = settle(
-        fingerprints(keyed.select(F.col(key).alias("node"), text.alias("body")), k, width, "node", "body").dropDuplicates(["id"]),
-        "simhash",
-    )
-    rows = prints.withColumnRenamed("id", "node")
-    graph = components(probable_links(rows, width, similarity, key_bits, recall, slack, tile))
-    members = (
+    prints = settle(fingerprints(keyed.select(F.col(key).alias("node"), text.alias("body")), k, width, "node", "body").dropDuplicates(["id"]), "simhash")
+    candidates = components(probable_links(prints.withColumnRenamed("id", "node"), width, similarity, key_bits, recall, slack, tile))
+    sized = settle(candidates.join(candidates.groupBy("root").agg(F.count("*").alias("n")), "root").select(F.col("root").alias("class"), "n", "node"), "classes")
+    texts = keyed.select(F.col(key).alias("node"), text.alias("text")).join(_small(sized.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    graph = components(_proved(sized.join(texts, "node").select("class", "n", "node", "text"), k, similarity, proof_tile))
+
+    members = settle(
         keyed.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("key"))
         .groupBy("key", "id")
         .agg(F.count("*").alias("n"))
         .join(graph.select(F.col("node").alias("key"), "root"), "key", "left")
+        .withColumn("class", F.coalesce("root", "key")),
+        "members",
     )
-    first = members.groupBy(F.coalesce("root", "key").alias("class")).agg(
-        F.min_by(F.struct("key", "id", "n"), F.struct(F.col("id").isNull(), "id", "key")).alias("kept")
-    )
-    kept = first.select(F.col("kept.key").alias(key), F.col("kept.id").alias(rank), F.col("kept.n").alias("n"))
-
-    def chosen(which):
-        on = [F.col("d." + key) == F.col("k." + key), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k." + rank))]
-        return keyed.alias("d").join(kept.where(which).alias("k"), on, "left_semi")
-
-    single = chosen("n = 1")
-    # Rows that repeat id and text: one of them stays.
-    again = chosen("n > 1").dropDuplicates([id_col, key])
-    return single.unionByName(again).select(*docs.columns)
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    first = members.groupBy("class").agg(F.min_by(F.struct("key", "id"), order).alias("kept"))
+    marked = members.join(first, "class").withColumn("keep", (F.col("key") == F.col("kept.key")) & F.col("id").eqNullSafe(F.col("kept.id")))
+    marked = settle(marked.where("not keep or n > 1").select(F.col("key").alias(key), F.col("id").alias(rank), F.col("n").alias(n), "keep"), "marked")
+
+    def rows(which, how):
+        on = (keyed[key] == which[key]) & keyed[id_col].cast("long").eqNullSafe(which[rank])
+        return keyed.join(_small(which), on, how)
+
+    out = rows(marked.select(key, rank), "left_anti")
+    again = marked.where("keep").select(key, rank)
+    if again.limit(1).count():  # chosen rows that repeat id and text: one of them stays
+        out = out.unionByName(rows(again, "left_semi").dropDuplicates([id_col, key]))
+    return out.select(*docs.columns)
