@@ -23,6 +23,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def one_of(value: Column, words) -> Column:
+    """Membership in a fixed list, which is one folded literal."""
+    return F.array_contains(F.split(F.lit("\x1f".join(words)), "\x1f"), value)
+
+
 def find(text: Column, pattern: str, lead: str = "", value: str = "$0", only_if: Column | None = None) -> Column:
     """Spans of all matches. `lead` and `value` are replacement strings: what of a match lies before its span, and the span.
 

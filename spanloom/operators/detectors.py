@@ -165,7 +165,7 @@ def date(text: Column) -> Column:
 
 def iban(text: Column) -> Column:
     """Each match is cut where its country's characters are used up; there it must end at a non-alphanumeric."""
-    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
+    lengths = F.expr("map(" + ", ".join(f"'{c}', {n}" for c, n in IBAN_LENGTHS.items()) + ")")
 
     def cut(s: Column) -> Column:
         return let(_end_of(s["text"]), lambda end: F.struct(s["start"].alias("start"), end.alias("length"), F.substr(s["text"], F.lit(1), end).alias("text"), F.substr(s["text"], end + 1, F.lit(1)).alias("next")))
@@ -183,14 +183,23 @@ def iban(text: Column) -> Column:
     return F.transform(good, lambda s: span(s["start"], s["length"], s["text"])).cast(SPANS)
 
 
-#: A sentence: up to a line break, or through a terminator that white space or the end follows. A marker may cross a break.
-SENTENCE = rf"(?iuU)(\s*)((?:{MARKERS}|[^\r\n.!?]|[.!?](?!\s|\z))+(?:[.!?](?=\s|\z))?)"
+#: A sentence: from its first character that is no white space up to a line break, or through a terminator that white
+#: space or the end follows. No repeated group, so that long sentences do not nest matcher frames.
+SENTENCE = r"(?U)(\s*)([.!?](?=\s|\z)|\S[^\r\n]*?(?:[.!?](?=\s|\z)|(?=[\r\n])|\z))"
+#: A line break between words that may make up a marker.
+BROKEN_MARKER = (
+    r"(?iU)(?<=\b(?:internal|use|trade|do|not|for|privileged|and|&)[ \t]{0,9})[\r\n]"
+    r"(?=\s{0,9}(?:use|only|secrets?|not|distribute|distribution|for|and|&|confidential)\b)"
+)
 
 
 def confidential(text: Column) -> Column:
-    """Sentences with a confidentiality marker, without the white space before them."""
-    marked = lambda v: v.rlike("(?iuU)" + MARKERS)
-    return keep(find(text, SENTENCE, "$1", "$2", marked(text)), marked)
+    """Sentences with a confidentiality marker, without the white space before them. A marker may cross a line break."""
+    marker = "(?iuU)" + MARKERS
+    crossed = F.exists(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), lambda m: m.rlike(r"[\r\n]"))
+    joined = F.when(text.rlike(marker) & crossed, F.regexp_replace(text, BROKEN_MARKER, " ")).otherwise(text)
+    found = keep(find(joined, SENTENCE, "$1", "$2", text.rlike(marker)), lambda v: v.rlike(marker))
+    return F.transform(found, lambda s: span(s["start"], s["length"], F.substr(text, s["start"] + 1, s["length"])))
 
 
 def term_pattern(terms) -> str:

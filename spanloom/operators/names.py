@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.functions.spans import SPANS, find, let, span
+from spanloom.functions.spans import SPANS, find, let, one_of, span
 from spanloom.operators.resolve import resolve_spans
 
 #: Word classes of the rules.
@@ -88,7 +88,7 @@ def _words(run: Column) -> Column:
 
 def _end(words: Column, first: Column) -> Column:
     """Index of the first word after `first` that ends a name, or the number of words."""
-    stops = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i > first) & F.get(words, i)["word"].isin(*ENDS))
+    stops = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i > first) & one_of(F.get(words, i)["word"], ENDS))
     return F.coalesce(F.get(stops, F.lit(0)), F.size(words))
 
 
@@ -102,7 +102,7 @@ def _anchored(runs: Column, least: int) -> Column:
     def judged(run: Column, words: Column, first: Column, end: Column) -> Column:
         cut = end < F.size(words)
         comma = cut & (end == 1) & first["text"].endswith(",")
-        bad = first["word"].isin(*NEVER_STARTS) | (~comma & ((end < least) | ((end == 1) & cut)))
+        bad = one_of(first["word"], NEVER_STARTS) | (~comma & ((end < least) | ((end == 1) & cut)))
         return F.when(bad, None).when(comma, _from_to(run, words, F.lit(0), F.lit(1), 1)).otherwise(_from_to(run, words, F.lit(0), end))
 
     def one(run: Column) -> Column:
@@ -114,11 +114,11 @@ def _anchored(runs: Column, least: int) -> Column:
 def _listed(text: Column, runs: Column, names, ambiguous) -> Column:
     def judged(run: Column, words: Column, first: Column, end: Column) -> Column:
         a = F.get(words, first)
-        doubtful = a["word"].isin(*ambiguous) & is_sentence_start(text, run["start"] + a["start"])
+        doubtful = one_of(a["word"], ambiguous) & is_sentence_start(text, run["start"] + a["start"])
         return F.when(first.isNull() | doubtful | (end - first < 2), None).otherwise(_from_to(run, words, first, end))
 
     def one(run: Column) -> Column:
-        known = lambda words: F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i)["word"].isin(*names)), F.lit(0))
+        known = lambda words: F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: one_of(F.get(words, i)["word"], names)), F.lit(0))
         return let(_words(run), lambda words: let(known(words), lambda first: let(_end(words, first), lambda end: judged(run, words, first, end))))
 
     return F.array_compact(F.transform(runs, one))
@@ -129,6 +129,6 @@ def person_names(text: Column, given_names=tuple(GIVEN_NAMES), ambiguous_names=t
     names = [*given_names, *ambiguous_names]
     has_capital = text.rlike(r"\p{Lu}[\p{Ll}.'’]")
     anchored = lambda p, n: _anchored(find(text, p, "$1", "$2", has_capital), n)
-    runs = F.filter(find(text, LISTED, only_if=has_capital), lambda r: F.exists(F.split(r["text"], "[ \t]+"), lambda w: w.isin(*names)))
+    runs = F.filter(find(text, LISTED, only_if=has_capital), lambda r: F.exists(F.split(r["text"], "[ \t]+"), lambda w: one_of(w, names)))
     every = F.concat(anchored(ABBREVIATED, 1), anchored(SPELLED_OUT, 2), anchored(LABEL, 1), anchored(SALUTATION, 1), _listed(text, runs, names, ambiguous_names))
     return resolve_spans(every.cast(SPANS))

@@ -38,7 +38,7 @@ def resolve(detections: Column) -> Column:
 
 
 def _resolve(detections: Column) -> Column:
-    rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    rank = F.expr("map(" + ", ".join(f"'{k}', {n}" for k, n in PRIORITY.items()) + ")")
     ranked = F.array_sort(
         F.transform(
             detections,

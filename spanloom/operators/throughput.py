@@ -22,7 +22,8 @@ def estimates(samples: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def throttle(events: DataFrame, partition: list[str], ts: str, tie: list[str], permits: int = 60, seconds: int = 60) -> DataFrame:
     """events with `window_start` (epoch-aligned), `place` in it and `allowed`: the first `permits` of each partition and window."""
-    start = (F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)) * seconds).cast("long")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+    start = (F.floor(micros / F.lit(seconds * 1_000_000)) * seconds).cast("long")
     w = Window.partitionBy(*partition, "window_start").orderBy(ts, *tie)
     return events.withColumn("window_start", start).withColumn("place", F.row_number().over(w)).withColumn("allowed", F.col("place") <= permits)
 

@@ -1,13 +1,619 @@
-"""Named queries of the span engine with their SQL."""
+"""Named queries of the span engine, each with the SQL that gives the same rows. Results are flat."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom import catalog
+from spanloom.functions import checksums, scalars
+from spanloom.operators import blocks, detectors, redact, segments, throughput
+from spanloom.operators.resolve import DETECTIONS, resolve
+from spanloom.options import RedactionOptions
+from spanloom.sources import docx, routing, text_files
+from spanloom.streaming.redaction import redact_stream
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(found: Column) -> Column:
+    return F.transform(found, lambda s: s["text"])
+
+
+def spans_of(df: DataFrame, kind: str, *keys: str) -> DataFrame:
+    """(keys, start, value) of one detector over `text`."""
+    found = df.select(*keys, F.explode(detectors.REGISTRY[kind](F.col("text"))).alias("s"))
+    return found.select(*keys, F.col("s.start").alias("start"), F.col("s.text").alias("value"))
+
+
+def _literal(rows) -> str:
+    show = lambda v: "null" if v is None else f"{v}" if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+# --- catalog ---------------------------------------------------------------------------------------------------------
+
+KIND_ROWS = [(k.priority, k.name, k.label, k.categories) for k in catalog.KINDS]
+KIND_SQL = f"(values {_literal(KIND_ROWS)}) k(priority, kind, label, categories)"
+
+
+@query(f"select * from {KIND_SQL}")
+def kind_catalog(spark, sf_dir):
+    return catalog.kind_catalog(spark).select("priority", "kind", "label", "categories")
+
+
+@query(f"select c.category, k.kind from {KIND_SQL} join (values ('Pii', 1), ('Hipaa', 2), ('Financial', 4), ('Confidential', 8)) c(category, mask) on k.categories & c.mask <> 0")
+def kinds_by_category(spark, sf_dir):
+    cats = spark.createDataFrame(list(catalog.CATEGORIES.items()), "category string, mask int")
+    met = F.col("categories").bitwiseAND(F.col("mask")) != 0
+    return catalog.kind_catalog(spark).join(F.broadcast(cats), met).select("category", "kind")  # both sides are fixed tables
+
+
+REQUESTS = [("financial", 4, "Iban;SwiftCode", 1), ("pii", 1, "PersonName", 0), ("all", 15, "", 0), ("none", 0, "CustomTerm", 1)]
+
+
+@query(
+    f"""select r.name, k.kind from (values {_literal(REQUESTS)}) r(name, mask, excluded, terms), {KIND_SQL}
+    where (k.categories & r.mask <> 0 and not list_contains(string_split(r.excluded, ';'), k.kind)) or (k.kind = 'CustomTerm' and r.terms > 0)"""
+)
+def effective_kinds(spark, sf_dir):
+    rows = []
+    for name, mask, excluded, terms in REQUESTS:
+        options = RedactionOptions(mask, frozenset(excluded.split(";")), ("x",) * terms)
+        rows += [(name, k) for k in options.effective_kinds()]
+    return spark.createDataFrame(rows, "name string, kind string")
+
+
+# --- detectors over documents ----------------------------------------------------------------------------------------
+
+EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}\b"
+IP_SQL = r"list_filter(regexp_extract_all(text, '[0-9.]+'), lambda v: regexp_full_match(v, '\d{1,3}(\.\d{1,3}){3}') and list_max(list_transform(string_split(v, '.'), lambda o: try_cast(o as int))) <= 255)"
+LUHN_SQL = "(list_sum(list_transform(range(length(v)), lambda i: case when (length(v) - i) % 2 = 1 then v[i + 1]::int else (v[i + 1]::int * 2) % 10 + (v[i + 1]::int * 2) // 10 end)) % 10 = 0)"
+CARD_SQL = rf"list_filter(regexp_extract_all(text, '[0-9-]+'), lambda v: case when regexp_full_match(v, '\d{{13,19}}') then {LUHN_SQL} else false end)"
+
+
+@query(rf"select doc_id, unnest(regexp_extract_all(text, '{EMAIL_RE}')) as value from documents")
+def detect_email(spark, sf_dir):
+    return spans_of(table(spark, sf_dir, "documents"), "EmailAddress", "doc_id").drop("start")
+
+
+@query(f"select doc_id, unnest({IP_SQL}) as value from documents")
+def detect_ipv4(spark, sf_dir):
+    return spans_of(table(spark, sf_dir, "documents"), "IpAddress", "doc_id").drop("start")
+
+
+@query(f"select doc_id, unnest({CARD_SQL}) as value from documents")
+def detect_card(spark, sf_dir):
+    return spans_of(table(spark, sf_dir, "documents"), "CreditCardNumber", "doc_id").drop("start")
+
+
+@query(r"select doc_id, unnest(regexp_extract_all(' ' || text, '[^0-9+-](\+1 \(\d{3}\) \d{3}-\d{4})', 1)) as value from documents")
+def detect_phone(spark, sf_dir):
+    return spans_of(table(spark, sf_dir, "documents"), "PhoneNumber", "doc_id").drop("start")
+
+
+@query(f"select page_id, unnest({IP_SQL.replace('text', 'html')}) as value from pages")
+def detect_ipv4_pages(spark, sf_dir):
+    return spans_of(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "IpAddress", "page_id").drop("start")
+
+
+TERMS = ("than the", "the", "erst", "und")
+
+
+@query(
+    r"""with t as (select doc_id, regexp_extract_all(lower(text), 'than[\s]+the\b|[\p{L}\p{N}\p{M}_]+') as w from documents)
+    select doc_id, len(list_filter(w, lambda x: x in ('the', 'erst', 'und') or regexp_full_match(x, 'than\s+the')))::int as n from t where n > 0"""
+)
+def detect_custom_terms(spark, sf_dir):
+    options = RedactionOptions(0, custom_terms=TERMS)
+    found = table(spark, sf_dir, "documents").select("doc_id", F.size(detectors.custom_terms(F.col("text"), options)).alias("n"))
+    return found.where("n > 0")
+
+
+@query(
+    """select doc_id, 0 as start, 'This report is CONFIDENTIAL and v' || (doc_id % 7) || '.' || (doc_id % 3) || ' only!' as value from documents
+    union all select doc_id, 46, 'Trade  secrets ahead' from documents where doc_id % 2 = 0"""
+)
+def detect_confidential(spark, sf_dir):
+    lead = F.concat(F.lit("This report is CONFIDENTIAL and v"), (F.col("doc_id") % 7).cast("string"), F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit(" only!  "))
+    more = F.when(F.col("doc_id") % 2 == 0, "\n Trade  secrets ahead\n").otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, more, F.col("text")).alias("text"))
+    return spans_of(docs, "ConfidentialStatement", "doc_id")
+
+
+# --- detectors over texts made from keys -----------------------------------------------------------------------------
+
+
+def _padded(key: str, n: int) -> Column:
+    return F.lpad(F.col(key).cast("string"), n, "0")
+
+
+def _orders(spark, sf_dir, *parts: Column) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.concat(*parts).alias("text"))
+
+
+def _customers(spark, sf_dir, *parts: Column) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(*parts).alias("text"))
+
+
+NPI_SQL = "(list_sum(list_transform(range(15), lambda i: case when i % 2 = 0 then ('80840' || v)[i + 1]::int else (('80840' || v)[i + 1]::int * 2) % 10 + (('80840' || v)[i + 1]::int * 2) // 10 end)) % 10 = 0)"
+ABA_SQL = "((3 * (v[1]::int + v[4]::int + v[7]::int) + 7 * (v[2]::int + v[5]::int + v[8]::int) + v[3]::int + v[6]::int + v[9]::int) % 10 = 0 and (v[1:2]::int <= 12 or v[1:2]::int between 21 and 32 or v[1:2]::int between 61 and 72 or v[1:2]::int = 80))"
+
+
+@query(f"select id, 4 as start, v as value from (select o_orderkey as id, lpad(o_orderkey::varchar, 10, '0') as v from orders) where {NPI_SQL}")
+def detect_npi(spark, sf_dir):
+    return spans_of(_orders(spark, sf_dir, F.lit("NPI "), _padded("o_orderkey", 10), F.lit(" on file")), "NationalProviderId", "id")
+
+
+@query(f"select id, 8 as start, v as value from (select o_orderkey as id, lpad(o_orderkey::varchar, 9, '0') as v from orders) where {ABA_SQL}")
+def detect_aba(spark, sf_dir):
+    return spans_of(_orders(spark, sf_dir, F.lit("routing "), _padded("o_orderkey", 9)), "BankRoutingNumber", "id")
+
+
+@query(
+    """select id, 5 as start, v as value from (select o_orderkey as id, 'AB' || lpad(o_orderkey::varchar, 7, '0') as v from orders)
+    where (v[3]::int + v[5]::int + v[7]::int + 2 * (v[4]::int + v[6]::int + v[8]::int)) % 10 = v[9]::int"""
+)
+def detect_dea(spark, sf_dir):
+    return spans_of(_orders(spark, sf_dir, F.lit("DEA: AB"), _padded("o_orderkey", 7), F.lit(".")), "DeaNumber", "id")
+
+
+@query(
+    """with t as (select o_orderkey as id, lpad((o_orderkey * 7919 % 1000000000)::varchar, 9, '0') as d from orders)
+    select id, case when id % 2 = 0 then 5 else 3 end as start, case when id % 2 = 0 then d else d[1:3] || '-' || d[4:5] || '-' || d[6:9] end as value
+    from t where d[1:3] not in ('000', '666') and d[1] <> '9' and d[4:5] <> '00' and d[6:9] <> '0000'"""
+)
+def detect_ssn(spark, sf_dir):
+    d = F.lpad((F.col("o_orderkey") * 7919 % 1000000000).cast("string"), 9, "0")
+    cut = F.concat(F.lit("no "), F.substring(d, 1, 3), F.lit("-"), F.substring(d, 4, 2), F.lit("-"), F.substring(d, 6, 4))
+    return spans_of(_orders(spark, sf_dir, F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("SSN: "), d)).otherwise(cut)), "SocialSecurityNumber", "id")
+
+
+@query("select o_orderkey as id, 12 as start, case when o_orderkey % 3 = 0 then lpad(o_orderkey::varchar, 6, '0') || '-77' else lpad(o_orderkey::varchar, 12, '0') end as value from orders")
+def detect_account(spark, sf_dir):
+    v = F.when(F.col("o_orderkey") % 3 == 0, F.concat(_padded("o_orderkey", 6), F.lit("-77"))).otherwise(_padded("o_orderkey", 12))
+    return spans_of(_orders(spark, sf_dir, F.lit("Account No: "), v, F.lit(" is open")), "AccountNumber", "id")
+
+
+@query("select c_custkey as id, 8 as start, 'A-' || lpad(c_custkey::varchar, 6, '0') as value from customer")
+def detect_mrn(spark, sf_dir):
+    return spans_of(_customers(spark, sf_dir, F.lit("see MRN A-"), _padded("c_custkey", 6), F.lit(".")), "MedicalRecordNumber", "id")
+
+
+@query("select c_custkey as id, 11 as start, 'HP' || lpad(c_custkey::varchar, 9, '0') as value from customer")
+def detect_health_plan(spark, sf_dir):
+    return spans_of(_customers(spark, sf_dir, F.lit("Member ID: HP"), _padded("c_custkey", 9)), "HealthPlanId", "id")
+
+
+@query("select c_custkey as id, 13 as start, 'X' || lpad(c_custkey::varchar, 7, '0') as value from customer")
+def detect_passport(spark, sf_dir):
+    return spans_of(_customers(spark, sf_dir, F.lit("Passport No. X"), _padded("c_custkey", 7)), "PassportNumber", "id")
+
+
+@query("select c_custkey as id, 18 as start, 'D' || lpad(c_custkey::varchar, 6, '0') || '-9' as value from customer")
+def detect_license(spark, sf_dir):
+    return spans_of(_customers(spark, sf_dir, F.lit("driver's license: D"), _padded("c_custkey", 6), F.lit("-9")), "DriversLicenseNumber", "id")
+
+
+@query("select c_custkey as id, 12 as start, 'DEUTDE' || lpad((c_custkey % 100)::varchar, 2, '0') || case when c_custkey % 2 = 0 then '500' else '' end as value from customer")
+def detect_swift(spark, sf_dir):
+    tail = F.when(F.col("c_custkey") % 2 == 0, "500").otherwise("")
+    return spans_of(_customers(spark, sf_dir, F.lit("SWIFT code: DEUTDE"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), tail), "SwiftCode", "id")
+
+
+@query(
+    """select o_orderkey as id, 3 as start, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%m/%d/%Y')
+    when 2 then strftime(o_orderdate, '%B ') || day(o_orderdate) || ', ' || year(o_orderdate) else day(o_orderdate) || strftime(o_orderdate, ' %b ') || year(o_orderdate) end as value from orders"""
+)
+def detect_date(spark, sf_dir):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    text = (
+        F.when(k == 0, F.date_format(d, "yyyy-MM-dd"))
+        .when(k == 1, F.date_format(d, "MM/dd/yyyy"))
+        .when(k == 2, F.date_format(d, "MMMM d, yyyy"))
+        .otherwise(F.date_format(d, "d MMM yyyy"))
+    )
+    return spans_of(_orders(spark, sf_dir, F.lit("on "), text, F.lit(" it ran")), "Date", "id")
+
+
+@query(
+    """with t as (select c_custkey as id, lpad(c_custkey::varchar, 18, '0') as b from customer),
+    c as (select id, 'DE' || lpad(((98 - ((b || '131400')::hugeint % 97))::int)::varchar, 2, '0') || b as v from t)
+    select id, 4 as start, case when id % 3 = 0 then v[1:4] || ' ' || v[5:8] || ' ' || v[9:12] || ' ' || v[13:16] || ' ' || v[17:20] || ' ' || v[21:22] else v end as value from c where id % 2 = 0"""
+)
+def detect_iban(spark, sf_dir):
+    b = _padded("c_custkey", 18)
+    rest = (F.concat(b, F.lit("131400")).cast("decimal(38,0)") % F.lit(97).cast("decimal(38,0)")).cast("int")
+    check = F.lpad((F.when(F.col("c_custkey") % 2 == 0, 98 - rest).otherwise(97 - rest)).cast("string"), 2, "0")
+    v = F.concat(F.lit("DE"), check, b)
+    grouped = F.concat_ws(" ", *[F.substring(v, i, 4) for i in range(1, 22, 4)])
+    return spans_of(_customers(spark, sf_dir, F.lit("pay "), F.when(F.col("c_custkey") % 3 == 0, grouped).otherwise(v), F.lit(" now")), "Iban", "id")
+
+
+@query("select o_orderkey as id, 3 as start, o_orderkey || ' N. Old Oak Street, Apt ' || (o_orderkey % 9) || 'B' as value from orders where o_orderkey < 1000000")
+def detect_address(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    text = _orders(spark, sf_dir, F.lit("at "), key, F.lit(" N. Old Oak Street, Apt "), (F.col("o_orderkey") % 9).cast("string"), F.lit("B; and 9 low road"))
+    return spans_of(text.where("id < 1000000"), "StreetAddress", "id")
+
+
+NAME_TEXTS = [
+    ("Dr. Jane Smith saw ", "Jane Smith", 4),
+    ("Patient: Smith, John A. has ", "Smith, John A.", 9),
+    ("Dear Sir, Captain James Cook took ", "James Cook", 18),
+    ("Mark your Acme Mary Jones Inc for ", "Mary Jones", 15),
+    ("regards,\nZoë O’Brien-Lee wrote ", "Zoë O’Brien-Lee", 9),
+    ("Captain America left ", None, 0),
+]
+
+
+@query(f"select o_orderkey as id, n.start, n.value from orders join (values {_literal((i, v, s) for i, (_, v, s) in enumerate(NAME_TEXTS))}) n(k, value, start) on o_orderkey % 6 = n.k where n.value is not null")
+def detect_person_name(spark, sf_dir):
+    text = F.element_at(F.array(*[F.lit(t) for t, _, _ in NAME_TEXTS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return spans_of(_orders(spark, sf_dir, text, F.col("o_orderkey").cast("string")), "PersonName", "id")
+
+
+# --- span algebra ----------------------------------------------------------------------------------------------------
+
+SPAN_KINDS = ("Date", "Iban", "PhoneNumber", "SocialSecurityNumber", "EmailAddress", "AccountNumber", "PersonName")
+
+
+@query(
+    f"""with s as (select l_orderkey as id, k.kind, k.priority, ((l_linenumber * 7 + l_partkey) % 40)::int as start, (l_quantity::int % 12 + 1)::int as length
+      from lineitem join {KIND_SQL} on k.kind = [{", ".join(repr(k) for k in SPAN_KINDS)}][l_linenumber]),
+    l as (select id, list([struct_pack(start := start, length := length, kind := kind)] order by -length, priority, start) as spans from s group by id),
+    r as (select id, list_reduce(spans, lambda acc, x: case when len(list_filter(acc, lambda y: y.start < x[1].start + x[1].length and x[1].start < y.start + y.length)) > 0 then acc else list_concat(acc, x) end) as kept from l)
+    select id, unnest(kept, recursive := true) from r"""
+)
+def resolve_overlaps(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(k) for k in SPAN_KINDS]), F.col("l_linenumber"))
+    start = ((F.col("l_linenumber") * 7 + F.col("l_partkey")) % 40).cast("int")
+    one = F.struct(kind.alias("kind"), start.alias("start"), (F.rint("l_quantity").cast("int") % 12 + 1).cast("int").alias("length"), F.lit("").alias("text"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(one).cast(DETECTIONS).alias("d"))
+    return rows.withColumn("d", resolve(F.col("d"))).select("id", F.explode("d").alias("s")).select("id", "s.start", "s.length", "s.kind")
+
+
+CONTACTS = RedactionOptions(15, frozenset(k.name for k in catalog.KINDS) - {"EmailAddress", "IpAddress", "CreditCardNumber"})
 
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship: all kinds of all categories in every document."""
+    return redact.redact(table(spark, sf_dir, "documents")).select("doc_id", "redacted_text", "total")
 
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES["redact_documents"] = redact_documents
+
+
+@query(
+    rf"""with t as (select doc_id, text, len(regexp_extract_all(text, '{EMAIL_RE}')) + len({IP_SQL}) as total from documents)
+    select doc_id, regexp_replace(regexp_replace(text, '{EMAIL_RE}', '[EMAIL]', 'g'), '(^|[^0-9.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}($|[^0-9.])', '\1[IP]\2', 'g') as redacted_text, total::int as total from t"""
+)
+def redact_contacts(spark, sf_dir):
+    options = RedactionOptions(15, CONTACTS.excluded | {"CreditCardNumber"})
+    return redact.redact(table(spark, sf_dir, "documents"), options=options).select("doc_id", "redacted_text", "total")
+
+
+COUNTS_SQL = f"""(select doc_id, source, lang, unnest(['EmailAddress', 'IpAddress', 'CreditCardNumber']) as kind,
+    unnest([len(regexp_extract_all(text, '{EMAIL_RE}')), len({IP_SQL}), len({CARD_SQL})]) as n from documents)"""
+
+
+@query(f"select kind, sum(n)::bigint as n from {COUNTS_SQL} where n > 0 group by kind")
+def report_by_kind(spark, sf_dir):
+    return redact.long_report(redact.detect(table(spark, sf_dir, "documents"), options=CONTACTS), [])
+
+
+@query(f"select source, lang, kind, sum(n)::bigint as n from {COUNTS_SQL} where n > 0 group by all")
+def report_by_source(spark, sf_dir):
+    return redact.long_report(redact.detect(table(spark, sf_dir, "documents"), options=CONTACTS), ["source", "lang"])
+
+
+@query(f"select kind, sum(n)::bigint as n from {COUNTS_SQL} where n > 0 group by kind union all select 'IpAddress', sum(len({IP_SQL.replace('text', 'html')}))::bigint from pages having sum(len({IP_SQL.replace('text', 'html')})) > 1e18")
+def report_merge(spark, sf_dir):
+    found = redact.detect(table(spark, sf_dir, "documents"), options=CONTACTS)
+    parts = redact.long_report(found, ["source"]).select("kind", "n")
+    return redact.merge_reports(parts)
+
+
+# --- checksums and scalars -------------------------------------------------------------------------------------------
+
+
+@query(f"select id, v as value, {LUHN_SQL} as valid from (select l_orderkey * 8 + l_linenumber as id, (l_orderkey * 8 + l_linenumber)::varchar as v from lineitem)")
+def checksum_luhn(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    return rows.withColumn("value", F.col("id").cast("string")).withColumn("valid", checksums.luhn(F.col("value")))
+
+
+@query(f"select v as value, {NPI_SQL} as valid from (select lpad(o_orderkey::varchar, 10, '0') as v from orders)")
+def checksum_npi(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(_padded("o_orderkey", 10).alias("value")).withColumn("valid", checksums.npi(F.col("value")))
+
+
+@query(f"select v as value, {ABA_SQL} as valid from (select lpad((o_orderkey * 104729 % 1000000000)::varchar, 9, '0') as v from orders)")
+def checksum_aba(spark, sf_dir):
+    v = F.lpad((F.col("o_orderkey") * 104729 % 1000000000).cast("string"), 9, "0")
+    return table(spark, sf_dir, "orders").select(v.alias("value")).withColumn("valid", checksums.aba(F.col("value")))
+
+
+@query("select v as value, (v[5:22] || '1314' || v[3:4])::hugeint % 97 = 1 as valid from (select 'DE' || lpad((o_orderkey % 97)::varchar, 2, '0') || lpad(o_orderkey::varchar, 18, '0') as v from orders)")
+def checksum_iban(spark, sf_dir):
+    v = F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 97).cast("string"), 2, "0"), _padded("o_orderkey", 18))
+    return table(spark, sf_dir, "orders").select(v.alias("value")).withColumn("valid", checksums.iban(F.col("value")))
+
+
+@query(
+    """with t as (select event_id, round_even(greatest(0, (value - 50) * 997.5), 0)::bigint as n from events)
+    select event_id, case when n < 60 then n || 's' when n < 3600 then n // 60 || 'm ' || n % 60 || 's' when n < 86400 then n // 3600 || 'h ' || n % 3600 // 60 || 'm ' || n % 60 || 's'
+    else n // 86400 || 'd ' || n % 86400 // 3600 || 'h ' || n % 3600 // 60 || 'm ' || n % 60 || 's' end as duration from t"""
+)
+def duration_format(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalars.format_duration((F.col("value") - 50) * 997.5).alias("duration"))
+
+
+@query(
+    """with t as (select event_id, user_id, ts, (event_id * 7919 % 50000000)::bigint as bytes, 0.5 + event_id % 10 as seconds from events),
+    w as (select *, sum(bytes) over p as b, sum(seconds::double) over p as s from t window p as (partition by user_id order by ts, event_id rows between 20 preceding and 1 preceding))
+    select event_id, greatest(1.0::double, bytes / (case when s > 0 and b > 0 then b::double / s else 2000000.0 end)::double) as estimate from w"""
+)
+def throughput_estimate(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_id") * 7919 % 50000000).alias("bytes"), (F.lit(0.5) + F.col("event_id") % 10).alias("seconds"))
+    return throughput.estimates(rows, ["user_id"], ["ts", "event_id"]).select("event_id", "estimate")
+
+
+@query(
+    """select event_id, (epoch_us(ts) // 600000000 * 600)::bigint as window_start, row_number() over (partition by event_type, epoch_us(ts) // 600000000 order by ts, event_id)::int as place,
+    row_number() over (partition by event_type, epoch_us(ts) // 600000000 order by ts, event_id) <= 2 as allowed from events"""
+)
+def fixed_window_throttle(spark, sf_dir):
+    out = throughput.throttle(table(spark, sf_dir, "events"), ["event_type"], "ts", ["event_id"], 2, 600)
+    return out.select("event_id", "window_start", "place", "allowed")
+
+
+FONTS = [("ABCDEF+TimesNewRomanPS", "serif"), ("Courier-Bold", "monospace"), ("NotoSansSerif", "sans-serif"), ("XYZ+SourceCodePro", "monospace"), ("Georgia", "serif"), ("Helvetica", "sans-serif"), ("", "sans-serif"), (None, "sans-serif")]
+
+
+@query(f"select * from (values {_literal(FONTS)}) t(font, family)")
+def font_family(spark, sf_dir):
+    return spark.createDataFrame([(f,) for f, _ in FONTS], "font string").withColumn("family", scalars.font_family(F.col("font")))
+
+
+@query(
+    """select c_custkey as id, case when c_custkey % 37 = 0 and c_custkey % 41 = 0 then 0.0::double else
+    (((round(-degrees(atan2((c_custkey % 41 - 20)::double * (c_custkey % 41 <> 0)::int * 1.0, (c_custkey % 37 + 1)::double)), 3) % 360) + 360) % 360)::double end as angle
+    from customer where c_custkey % 41 <> 0"""
+)
+def baseline_angle(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").where("c_custkey % 41 <> 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 37 + 1).cast("double").alias("x"), (F.col("c_custkey") % 41 - 20).cast("double").alias("y"))
+    return rows.select("id", scalars.angle_degrees(F.lit(0.0), F.lit(0.0), F.col("x"), F.col("y")).alias("angle"))
+
+
+SIZES = [(0, "0 B"), (1023, "1023 B"), (1024, "1 KB"), (1536, "1.5 KB"), (1048576, "1 MB"), (26214400, "25 MB"), (1100000, "1 MB")]
+
+
+@query(f"select * from (values {_literal(SIZES)}) t(n, size)")
+def byte_format(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n, _ in SIZES], "n int").withColumn("size", scalars.format_bytes(F.col("n")))
+
+
+LINKS = [("mailto:a%2Bb%40c.com", "mailto:a+b@c.com"), ("a+b%40c", "a+b@c"), ("50%", "50%"), ("plain", "plain")]
+
+
+@query(f"select * from (values {_literal(LINKS)}) t(target, decoded)")
+def link_decode(spark, sf_dir):
+    return spark.createDataFrame([(t,) for t, _ in LINKS], "target string").withColumn("decoded", scalars.unescaped_link(F.col("target")))
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+ROUTES = [("a.TXT", "application/pdf", "text"), ("b.docx", "", "word"), ("c", "application/pdf; q=1", "pdf"), ("d.bin", " Text/Plain ;x", "text"), ("e.bin", "image/png", None), ("log.md", None, "text")]
+
+
+@query(f"select file_name, content_type, format from (values {_literal(ROUTES)}) t(file_name, content_type, format)")
+def route_format(spark, sf_dir):
+    rows = spark.createDataFrame([r[:2] for r in ROUTES], "file_name string, content_type string")
+    return rows.withColumn("format", routing.format_of(F.col("file_name"), F.col("content_type")))
+
+
+@query("select c_custkey as id, case when c_custkey % 5 = 0 then 'document' else c_name end || '-redacted' || case c_custkey % 3 when 0 then '.txt' when 1 then '.docx' else '.pdf' end as name from customer")
+def output_name(spark, sf_dir):
+    k = F.col("c_custkey")
+    stem = F.when(k % 5 == 0, "").otherwise(F.col("c_name"))
+    ext = F.when(k % 3 == 0, ".md").when(k % 3 == 1, ".docx").otherwise(".pdf")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("dir/"), stem, ext).alias("f"))
+    return rows.select("id", routing.output_name(F.col("f"), routing.format_of(F.col("f"), F.lit(None).cast("string"))).alias("name"))
+
+
+@query("select doc_id, ['UTF-8', 'UTF-8', 'UTF-16LE', 'UTF-16BE', 'UTF-32LE'][doc_id % 5 + 1] as encoding, doc_id % 5 <> 0 as has_bom, md5(text) as text_md5, true as round_trip from documents")
+def text_encodings(spark, sf_dir):
+    """Texts written with five kinds of marks, read back and written again."""
+    k = (F.col("doc_id") % 5).cast("int")
+    names = F.array(*[F.lit(n) for n in ("UTF-8", "UTF-8", "UTF-16LE", "UTF-16BE", "UTF-32LE")])
+    files = table(spark, sf_dir, "documents").select("doc_id", text_files.encoded(F.col("text"), F.get(names, k), k != 0).alias("content"))
+    back = text_files.decoded(files)
+    again = text_files.encoded(F.col("text"), F.col("encoding"), F.col("has_bom")) == F.col("content")
+    return back.select("doc_id", "encoding", "has_bom", F.md5("text").alias("text_md5"), again.alias("round_trip"))
+
+
+W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def sample_docx() -> bytes:
+    """A small Word package: a name and a number broken over runs, a link, a header, tracked authors, properties."""
+    body = (
+        f'<w:document {W_NS}><w:body><w:p><w:r><w:t>Call Dr. Jane </w:t></w:r><w:r><w:t>Smith at 555-1</w:t></w:r><w:r><w:t>23-4567</w:t></w:r><w:r><w:tab/><w:t>today</w:t></w:r></w:p>'
+        '<w:p><w:ins w:author="Ann Lee" w:initials="AL"><w:r><w:t>Nothing here</w:t></w:r></w:ins><w:del w:author="Bo"><w:r><w:delText>SSN 123-45-6789</w:delText></w:r></w:del></w:p></w:body></w:document>'
+    )
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" TargetMode="External" Type="http://x/hyperlink" Target="mailto:a%40b.com"/></Relationships>'
+    core = '<c:coreProperties xmlns:c="http://c" xmlns:d="http://d"><d:creator>Ann Lee</d:creator><d:title>For bob@x.org</d:title></c:coreProperties>'
+    header = f"<w:hdr {W_NS}><w:p><w:r><w:t>Page of 10.0.0.1</w:t></w:r></w:p></w:hdr>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in (("word/document.xml", body), ("word/_rels/document.xml.rels", rels), ("docProps/core.xml", core), ("word/header1.xml", header), ("word/embeddings/o1.bin", "x")):
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def _word_files(spark) -> DataFrame:
+    return spark.createDataFrame([("a.docx", bytearray(sample_docx())), ("broken.docx", bytearray(b"no zip"))], "path string, content binary")
+
+
+@query(
+    """select * from (values ('a.docx', 'DocumentAuthor', 3), ('a.docx', 'EmailAddress', 2), ('a.docx', 'IpAddress', 1), ('a.docx', 'PersonName', 1),
+    ('a.docx', 'PhoneNumber', 1), ('a.docx', 'SocialSecurityNumber', 1)) t(doc_id, kind, n)"""
+)
+def word_report(spark, sf_dir):
+    return docx.redact_items(docx.scan(_word_files(spark)))[1].withColumn("n", F.col("n").cast("int"))
+
+
+@query(
+    """select * from (values ('a.docx', 'word/document.xml', 0, 0, 'Call Dr. [NAME]'), ('a.docx', 'word/document.xml', 0, 1, ' at [PHONE]'), ('a.docx', 'word/document.xml', 0, 2, ''),
+    ('a.docx', 'word/document.xml', 0, 4, 'today'), ('a.docx', 'word/document.xml', 1, 0, 'Nothing here'), ('a.docx', 'word/document.xml', 1, 1, 'SSN [SSN]'),
+    ('a.docx', 'word/header1.xml', 0, 0, 'Page of [IP]')) t(doc_id, part, para_id, seg_id, text)"""
+)
+def word_rewrite(spark, sf_dir):
+    """Scan, redact, write, and scan what was written."""
+    files = _word_files(spark).where("path = 'a.docx'")
+    edits, _ = docx.redact_items(docx.scan(files))
+    return docx.scan(docx.rewrite(files, edits)).where("kind = 'segment'").select("doc_id", "part", "para_id", "seg_id", "text")
+
+
+# --- layout blocks ---------------------------------------------------------------------------------------------------
+
+GLYPH = "doc_id long, page int, block int, line int, word int, glyph int, text string, left double, right double, top double, bottom double, base_x double, base_y double, end_x double, end_y double, point_size double, bold boolean, italic boolean, family string, angle double"
+
+
+def _glyphs(spark, sf_dir) -> DataFrame:
+    """A block of two lines for each customer: `Mail c<key>@x.org now` and `ip 10.0.0.1`; each glyph is 6 points wide."""
+    lines = F.array(F.concat(F.lit("Mail c"), F.col("c_custkey").cast("string"), F.lit("@x.org now")), F.lit("ip 10.0.0.1"))
+    words = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(lines).alias("line", "l")).select("doc_id", "line", F.posexplode(F.split("l", " ")).alias("word", "w"), "l")
+    before = F.length(F.concat_ws(" ", F.slice(F.split("l", " "), F.lit(1), F.col("word")))) + F.when(F.col("word") > 0, 1).otherwise(0)
+    g = words.select("doc_id", "line", "word", before.alias("before"), F.posexplode(F.filter(F.split("w", ""), lambda c: c != "")).alias("glyph", "text"))
+    x, y = (F.col("before") + F.col("glyph")) * 6.0, 700.0 - F.col("line") * 14.0
+    return g.select(
+        "doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), "line", "word", "glyph", "text", x.alias("left"), (x + 6).alias("right"), (y + 9).alias("top"), (y - 2).alias("bottom"),
+        x.alias("base_x"), y.alias("base_y"), (x + 6).alias("end_x"), y.alias("end_y"), F.lit(11.0).alias("point_size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("serif").alias("family"), F.lit(0.0).alias("angle"),
+    )
+
+
+def _block_parts(spark, sf_dir):
+    glyphs = blocks.with_offsets(_glyphs(spark, sf_dir))
+    found = blocks.detect_blocks(blocks.block_texts(glyphs), CONTACTS)
+    return glyphs, blocks.flat_detections(found)
+
+
+@query("select c_custkey as doc_id, 'Mail c' || c_custkey || '@x.org now' || chr(10) || 'ip 10.0.0.1' as text from customer")
+def block_text(spark, sf_dir):
+    return blocks.block_texts(_glyphs(spark, sf_dir)).select("doc_id", "text")
+
+
+@query(
+    """select c_custkey as doc_id, line, kind, l * 6.0 - 0.5 as "left", r * 6.0 + 0.5 as "right", label, least(11.0, ((r - l) * 6.0 - 1.0) / (0.72 * length(label))) as label_size
+    from (select c_custkey, 0 as line, 'EmailAddress' as kind, 5 as l, 12 + length(c_custkey::varchar) as r, ' [EMAIL] ' as label from customer
+      union all select c_custkey, 1, 'IpAddress', 3, 11, ' [IP] ' from customer)"""
+)
+def glyph_boxes(spark, sf_dir):
+    glyphs, found = _block_parts(spark, sf_dir)
+    return blocks.redaction_boxes(glyphs, found, CONTACTS).select("doc_id", "line", "kind", "left", "right", "label", "label_size")
+
+
+@query("select c_custkey as doc_id, l as line, t as text from customer, (values (0, 'Mail '), (0, 'now '), (1, 'ip ')) v(l, t)")
+def text_runs(spark, sf_dir):
+    glyphs, found = _block_parts(spark, sf_dir)
+    return blocks.text_runs(glyphs, found).select("doc_id", "line", "text")
+
+
+@query(
+    """select c_custkey as doc_id, (length(svg) > 0) as drawn, 2 as boxes, 12 as glyphs from (select c_custkey, 'x' as svg from customer)"""
+)
+def page_svg(spark, sf_dir):
+    glyphs, found = _block_parts(spark, sf_dir)
+    pages = glyphs.select("doc_id", "page").distinct().withColumn("width", F.lit(612.0)).withColumn("height", F.lit(792.0))
+    svg = blocks.page_svg(pages, blocks.text_runs(glyphs, found), blocks.redaction_boxes(glyphs, found, CONTACTS))
+    count = lambda what: F.size(F.split("svg", what)) - 1
+    return svg.select("doc_id", F.col("svg").startswith("<svg ").alias("drawn"), count("<rect ").alias("boxes"), count('fill="black" xml').alias("glyphs"))
+
+
+@query("select c_custkey as doc_id, 4 as start, 'c' || c_custkey || '@mail.' || chr(10) || 'x.org' as value from customer where false union all select c_custkey, 5, '10.0.' || chr(10) || (c_custkey % 250)::varchar || '.1' from customer where false union all select c_custkey, 7, '555-123' || chr(10) || lpad((c_custkey % 10000)::varchar, 4, '0') from customer")
+def block_two_pass(spark, sf_dir):
+    """A phone number broken over two lines is found by the second pass only."""
+    text = F.concat(F.lit("dial 1 555-123\n"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" now"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    options = RedactionOptions(15, frozenset(k.name for k in catalog.KINDS) - {"PhoneNumber"})
+    found = blocks.detect_blocks(rows, options)
+    d = F.col("d")
+    shift = F.when(d["text"].startswith("1 "), 2).otherwise(0)
+    return found.select("doc_id", "text", F.explode("detections").alias("d")).select("doc_id", (d["start"] + shift).alias("start"), F.substr("text", d["start"] + shift + 1, d["length"] - shift).alias("value"))
+
+
+@query(
+    """with s as (select l_orderkey as id, l_linenumber as n, ((l_partkey * 13) % 60)::int as a, ((l_partkey * 13) % 60 + l_quantity::int % 9 + 1)::int as z, l_linenumber <= 2 as s from lineitem where l_linenumber <= 5),
+    m as (select *, max(z) over (partition by id order by a, z, s rows between unbounded preceding and 1 preceding) as seen from s),
+    g as (select *, sum(case when seen is null or a >= seen then 1 else 0 end) over (partition by id order by a, z, s rows unbounded preceding) as island from m)
+    select id, min(a)::int as start, (max(z) - min(a))::int as length from g group by id, island having bool_or(s)"""
+)
+def widen_sentences(spark, sf_dir):
+    start = ((F.col("l_partkey") * 13) % 60).cast("int")
+    kind = F.when(F.col("l_linenumber") <= 2, "ConfidentialStatement").otherwise("PhoneNumber")
+    one = F.struct(kind.alias("kind"), start.alias("start"), (F.rint("l_quantity").cast("int") % 9 + 1).cast("int").alias("length"), F.lit("").alias("text"))
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(one).cast(DETECTIONS).alias("d"))
+    is_sentence = lambda d: d["kind"] == "ConfidentialStatement"
+    wide = blocks.widened(F.filter("d", is_sentence), F.filter("d", lambda d: ~is_sentence(d)), F.lit(""))
+    return rows.select("id", F.explode(wide).alias("s")).select("id", "s.start", "s.length")
+
+
+@query(
+    """select o_orderkey as id, seg_id, case seg_id when 0 then 'to [EMAIL]' when 1 then '' else ' ok ' || o_orderkey end as new_text, seg_id < 2 as changed
+    from orders, (values (0), (1), (2)) s(seg_id)"""
+)
+def segment_splice(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    parts = F.array(F.concat(F.lit("to a"), key), F.lit("@b.com"), F.concat(F.lit(" ok "), key))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), parts.alias("p"))
+    starts = F.transform("p", lambda x, i: F.length(F.array_join(F.slice("p", F.lit(1), i), "")))
+    seg = rows.select("id", F.posexplode(F.arrays_zip(F.col("p").alias("t"), starts.alias("s"))).alias("seg_id", "x")).select("id", "seg_id", F.col("x.t").alias("text"), F.col("x.s").alias("start"))
+    seg = seg.withColumn("length", F.length("text"))
+    found = redact.detect(rows.select("id", F.array_join("p", "").alias("text")), options=CONTACTS)
+    spans = found.select("id", F.explode("detections").alias("d")).select("id", "d.kind", F.col("d.start").alias("d_start"), F.col("d.length").alias("d_length"))
+    return segments.splice(seg, spans, ["id"], CONTACTS).select("id", "seg_id", "new_text", "changed")
+
+
+@query("select doc_id, page, sum(n) over (partition by doc_id order by page) as running_chars, case when sum(n) over (partition by doc_id order by page) > 9000 then 'too_much_text' else 'ok' end as status from (select c_nationkey::bigint as doc_id, c_custkey as page, (c_custkey % 100)::bigint as n from customer)")
+def page_limits(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_custkey").alias("page"), (F.col("c_custkey") % 100).alias("chars"))
+    return blocks.within_page_limits(rows, 100_000, 9000).select("doc_id", "page", "running_chars", "status")
+
+
+# --- streaming -------------------------------------------------------------------------------------------------------
+
+
+@query(f"select kind, sum(n)::bigint as n from {COUNTS_SQL} where n > 0 group by kind")
+def stream_report(spark, sf_dir):
+    """Documents read as a stream, redacted, written as Parquet to the shared folder by an available-now trigger, and counted."""
+    import uuid
+
+    from spanloom.scratch import shared_folder
+
+    schema = table(spark, sf_dir, "documents").schema
+    path = f"{shared_folder(spark)}/spanloom-stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").format("parquet").load(f"{sf_dir}/documents.parquet*")
+    out = redact_stream(stream, options=CONTACTS).select("doc_id", "detections", "redacted_text")
+    run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return redact.long_report(spark.read.parquet(f"{path}/out"), [])

@@ -29,16 +29,20 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     """files with encoding, has_bom and text; the whole file is one text (a CSV is not parsed)."""
     c = F.col(content)
     body = F.substr(c, mark_length(c) + 1)
-    text = F.lit(None).cast("string")
-    for name in dict.fromkeys(n for _, n in MARKS):
-        text = F.when(encoding_of(c) == name, F.decode(body, name) if name != "UTF-8" else body.cast("string")).otherwise(text)
+    text = F.when(encoding_of(c) == "UTF-8", body.cast("string"))
+    for name in ("UTF-16LE", "UTF-16BE"):
+        text = text.when(encoding_of(c) == name, F.decode(body, name))
+    text = text.otherwise(F.decode(c, "UTF-32"))  # this decoder reads the mark itself
     return files.withColumn("encoding", encoding_of(c)).withColumn("has_bom", mark_length(c) > 0).withColumn("text", text)
 
 
 def encoded(text: Column, encoding: Column, has_bom: Column) -> Column:
+    wide = F.encode(text, "UTF-32")  # big-endian, without a mark
+    turned = F.unhex(F.regexp_replace(F.hex(wide), "(..)(..)(..)(..)", "$4$3$2$1"))
     out = F.lit(None).cast("binary")
     for mark, name in MARKS:
-        body = F.encode(text, name)
+        body = {"UTF-32LE": turned, "UTF-32BE": wide}.get(name)
+        body = F.encode(text, name) if body is None else body
         out = F.when((encoding == name) & has_bom, F.concat(F.unhex(F.lit(mark)), body)).when(encoding == name, body).otherwise(out)
     return out
 
