@@ -69,6 +69,10 @@ def canonical_role(role: Column) -> Column:
     return F.coalesce(known[F.lower(F.coalesce(role, F.lit("")))], role, F.lit(""))
 
 
+def _message(m: Mapping):
+    return lambda x: F.struct(canonical_role(x[m.role].cast("string")).alias("role"), F.coalesce(x[m.text].cast("string"), F.lit("")).alias("text"))
+
+
 def canonical_turns(df: DataFrame, mappings=MAPPINGS) -> DataFrame:
     """df of mixed layouts -> its columns, with schema_fingerprint (long) and turns (null where no mapping has the fingerprint)."""
     known = {p for m in mappings for p in m.paths}
@@ -80,10 +84,7 @@ def canonical_turns(df: DataFrame, mappings=MAPPINGS) -> DataFrame:
         if not set(m.paths) <= set(leaf):
             continue
         if m.messages:
-            made = F.transform(
-                df[m.messages],
-                lambda x, m=m: F.struct(canonical_role(x[m.role].cast("string")).alias("role"), F.coalesce(x[m.text].cast("string"), F.lit("")).alias("text")),
-            )
+            made = F.transform(df[m.messages], _message(m))
         else:
             made = F.array(
                 *[
