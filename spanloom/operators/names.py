@@ -129,6 +129,8 @@ def person_names(text: Column, given_names=tuple(GIVEN_NAMES), ambiguous_names=t
     names = [*given_names, *ambiguous_names]
     has_capital = text.rlike(r"\p{Lu}[\p{Ll}.'’]")
     anchored = lambda p, n: _anchored(find(text, p, "$1", "$2", has_capital), n)
-    runs = F.filter(find(text, LISTED, only_if=has_capital), lambda r: F.exists(F.split(r["text"], "[ \t]+"), lambda w: one_of(w, names)))
+    # Texts without any listed word are not scanned for runs: one pass over their words against a hash set.
+    has_name = has_capital & F.arrays_overlap(F.split(text, r"[^\p{L}\p{M}]+"), F.split(F.lit("\x1f".join(names)), "\x1f"))
+    runs = F.filter(find(text, LISTED, only_if=has_name), lambda r: F.exists(F.split(r["text"], "[ \t]+"), lambda w: one_of(w, names)))
     every = F.concat(anchored(ABBREVIATED, 1), anchored(SPELLED_OUT, 2), anchored(LABEL, 1), anchored(SALUTATION, 1), _listed(text, runs, names, ambiguous_names))
     return resolve_spans(every.cast(SPANS))

@@ -47,3 +47,22 @@ STATUS = {"unsupported": 415, "invalid": 422, "empty": 422, "too_large": 413}
 
 def status_code(error: str | None) -> int:
     return 200 if error is None else STATUS.get(error, 400)
+
+
+#: The most that one encoded byte can decode to, by filter.
+EXPANSION = {"FlateDecode": 1032, "LZWDecode": 2560, "RunLengthDecode": 64}
+
+
+def within_decode_limits(streams: DataFrame, limits: DocumentLimits = DocumentLimits()) -> DataFrame:
+    """streams (doc_id, stream_id, filter, encoded_bytes) with `bound`, the document's running total and `status`.
+
+    Filters of other names count as their encoded size. A stream over its cap, or one with which its document's total
+    passes the budget, is too_large.
+    """
+    ratio = F.lit(1)
+    for name, times in EXPANSION.items():
+        ratio = F.when(F.col("filter") == name, times).otherwise(ratio)
+    running = F.sum("bound").over(Window.partitionBy("doc_id").orderBy("stream_id").rowsBetween(Window.unboundedPreceding, 0))
+    out = streams.withColumn("bound", (F.col("encoded_bytes") * ratio).cast("long")).withColumn("running_bytes", running)
+    over = (F.col("bound") > limits.max_decoded_bytes) | (F.col("running_bytes") > limits.max_total_decoded_bytes)
+    return out.withColumn("status", F.when(over, "too_large").otherwise("ok"))

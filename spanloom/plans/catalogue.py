@@ -420,6 +420,66 @@ def link_decode(spark, sf_dir):
     return spark.createDataFrame([(t,) for t, _ in LINKS], "target string").withColumn("decoded", scalars.unescaped_link(F.col("target")))
 
 
+UNSAFE = [("a\x01b", "a\ufffdb"), ("tab\tok", "tab\tok"), ("\x0bx\x1f", "\ufffdx\ufffd")]
+
+
+@query(f"select * from (values {_literal(UNSAFE)}) t(text, safe)")
+def xml_safe(spark, sf_dir):
+    return spark.createDataFrame([(t,) for t, _ in UNSAFE], "text string").withColumn("safe", scalars.xml_safe(F.col("text")))
+
+
+@query("select event_id, greatest(0.0, value - event_id % 60)::double as remaining from events")
+def estimate_remaining(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalars.remaining(F.col("value"), (F.col("event_id") % 60).cast("double")).alias("remaining"))
+
+
+@query(
+    """with s as (select o_custkey as doc_id, o_orderkey as stream_id, ['FlateDecode', 'LZWDecode', 'RunLengthDecode', 'DCTDecode'][o_orderkey % 4 + 1] as filter, o_orderkey % 5000 as encoded_bytes from orders),
+    b as (select *, encoded_bytes * case filter when 'FlateDecode' then 1032 when 'LZWDecode' then 2560 when 'RunLengthDecode' then 64 else 1 end as bound from s),
+    r as (select *, sum(bound) over (partition by doc_id order by stream_id) as running from b)
+    select doc_id, stream_id, bound, running::bigint as running_bytes, case when bound > 5000000 or running > 9000000 then 'too_large' else 'ok' end as status from r"""
+)
+def decode_limits(spark, sf_dir):
+    filters = F.array(*[F.lit(x) for x in ("FlateDecode", "LZWDecode", "RunLengthDecode", "DCTDecode")])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("stream_id"), F.get(filters, (F.col("o_orderkey") % 4).cast("int")).alias("filter"), (F.col("o_orderkey") % 5000).alias("encoded_bytes"))
+    out = throughput.within_decode_limits(rows, throughput.DocumentLimits(5_000_000, 9_000_000))
+    return out.select("doc_id", "stream_id", "bound", "running_bytes", "status")
+
+
+@query(
+    f"""select doc_id, '{{"total":' || sum(n)::bigint || ',"counts":[' || coalesce(string_agg('{{"kind":"' || kind || '","count":' || n || '}}', ',' order by kind) filter (n > 0), '') || ']}}' as report
+    from {COUNTS_SQL} group by doc_id"""
+)
+def report_json(spark, sf_dir):
+    found = redact.detect(table(spark, sf_dir, "documents"), options=CONTACTS)
+    return found.select("doc_id", redact.report_json(F.col("detections")).alias("report"))
+
+
+@query(
+    """select c_custkey as doc_id, field, case field when 'creator' then '[AUTHOR]' when 'title' then 'mail [EMAIL]' when 'Number' then 'c' || c_custkey || '@x.org' else 'for [EMAIL] only' end as new_value,
+    case when field = 'Number' then 0 else 1 end as n from customer, (values ('creator'), ('title'), ('Note'), ('Number')) f(field)"""
+)
+def property_redaction(spark, sf_dir):
+    mail = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.org"))
+    row = lambda scope, field, value, kind: F.struct(F.lit(scope).alias("scope"), F.lit(field).alias("field"), value.alias("value"), F.lit(kind).alias("type"))
+    fields = F.array(row("core", "creator", F.col("c_name"), "lpwstr"), row("core", "title", F.concat(F.lit("mail "), mail), "lpwstr"), row("custom", "Note", F.concat(F.lit("for "), mail, F.lit(" only")), "lpwstr"), row("custom", "Number", mail, "i4"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(fields).alias("p")).select("doc_id", "p.*")
+    options = RedactionOptions(15, CONTACTS.excluded - {"DocumentAuthor"})
+    return segments.redact_properties(rows, options).select("doc_id", "field", "new_value", "n")
+
+
+@query(
+    """select c_nationkey::bigint as doc_id, count(*) || case when count(*) = 1 then ' embedded object was' else ' embedded objects were' end ||
+    ' left unchanged; the service does not open embedded files, so their contents were not redacted.' as warning from customer where c_custkey % 3 < 2 group by c_nationkey
+    union all select c_nationkey, count(*) || case when count(*) = 1 then ' imported-content or SmartArt part was' else ' imported-content or SmartArt parts were' end ||
+    ' left unchanged; text inside HTML/RTF imports and SmartArt is not redacted.' from customer where c_custkey % 3 = 2 and c_custkey % 30 = 2 group by c_nationkey"""
+)
+def package_warnings(spark, sf_dir):
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "embedded_object").when(k % 3 == 1, "embedded_package").when(k % 30 == 2, "diagram_data").otherwise("styles")
+    return segments.warnings(table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), kind.alias("part_type")))
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 ROUTES = [("a.TXT", "application/pdf", "text"), ("b.docx", "", "word"), ("c", "application/pdf; q=1", "pdf"), ("d.bin", " Text/Plain ;x", "text"), ("e.bin", "image/png", None), ("log.md", None, "text")]
