@@ -35,7 +35,7 @@ from spanloom.llm.common import ids_and_text
 from spanloom.scratch import discard, settle
 
 #: Text characters of a chunk: sets a task's memory.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 12_000_000
 #: One training document in so many is deleted from the counts that the weights are learnt on.
 DELETED_SHARE = 8
 BUCKETS = 24
@@ -73,6 +73,26 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+#: Low byte planes of key gaps that are stored as they are; the others, mostly zeros, are deflated.
+RAW_PLANES = 5
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct 64-bit keys as gaps, by byte planes."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    head = zlib.compress(planes[RAW_PLANES:].tobytes(), 1)
+    return len(head).to_bytes(4, "little") + head + planes[:RAW_PLANES].tobytes()
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    size = 4 + int.from_bytes(blob[:4], "little")
+    raw = np.frombuffer(blob, dtype=np.uint8, offset=size).reshape(RAW_PLANES, -1)
+    head = np.frombuffer(zlib.decompress(blob[4:size]), dtype=np.uint8).reshape(8 - RAW_PLANES, -1)
+    gaps = np.ascontiguousarray(np.concatenate([raw, head]).T).view("<u8").ravel()
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
 def _chunk_tokens(texts):
     """All codes of a chunk's texts, and each text's size."""
     each = [token_codes(t.encode("utf-8", "replace")) for t in texts]
@@ -86,15 +106,12 @@ def _distinct(values: np.ndarray):
 
 #: role of a document: 0 held out, 1 training, 2 training but deleted for the weights
 def _asked(each, sizes, roles):
-    """For unigrams, then bigrams: distinct keys (sorted), inverse, training counts, deleted counts. Starts count as a unigram."""
+    """For unigrams, then bigrams: distinct keys (sorted), inverse, training counts, deleted counts."""
     role = np.repeat(roles, sizes)
     for kind in (1, 2):
         values = np.concatenate(each) if kind == 1 else np.concatenate([pair_codes(c) for c in each])
-        who = role
-        if kind == 1:  # the start of each text is a context that is counted but is no token
-            values, who = np.r_[values, np.full(len(sizes), START)], np.r_[role, roles]
         keys, inverse = _distinct(values)
-        yield kind, keys, inverse, np.bincount(inverse[who > 0], minlength=len(keys)), np.bincount(inverse[who == 2], minlength=len(keys))
+        yield kind, keys, inverse, np.bincount(inverse[role > 0], minlength=len(keys)), np.bincount(inverse[role == 2], minlength=len(keys))
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -110,7 +127,7 @@ def ask(key, pdf: pd.DataFrame, ranges: int) -> pd.DataFrame:
         for r in range(ranges):
             a, b = cut[r], cut[r + 1]
             if b > a:
-                out.append((r, kind, key[0], keys[a:b].astype("<u8").tobytes(), packed(train[a:b]), packed(deleted[a:b])))
+                out.append((r, kind, key[0], packed_keys(keys[a:b]), packed(train[a:b]), packed(deleted[a:b])))
     return pd.DataFrame(out, columns=["range", "kind", "chunk", "keys", "train", "deleted"])
 
 
@@ -121,7 +138,7 @@ def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf[pdf["kind"] == kind].sort_values("chunk")
         if rows.empty:
             continue
-        blocks = [np.frombuffer(k, dtype="<u8") for k in rows["keys"]]
+        blocks = [unpacked_keys(k) for k in rows["keys"]]
         keys, inverse = _distinct(np.concatenate(blocks))
         train = np.bincount(inverse, np.concatenate([unpacked(x) for x in rows["train"]]), len(keys)).astype(np.int64)
         deleted = np.bincount(inverse, np.concatenate([unpacked(x) for x in rows["deleted"]]), len(keys)).astype(np.int64)
@@ -131,19 +148,18 @@ def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
             at += len(block)
             out.append((chunk, key[0], kind, packed(train[own]), packed(deleted[own]), 0, 0))
         if kind == 1:
-            real = keys != START
-            out.append((-1, key[0], 0, b"", b"", int((train[real] > 0).sum()), int((train[real] - deleted[real] > 0).sum())))
+            out.append((-1, key[0], 0, b"", b"", int((train > 0).sum()), int((train - deleted > 0).sum())))
     return pd.DataFrame(out, columns=["chunk", "range", "kind", "train", "deleted", "v", "v_kept"])
 
 
-LOOKED_UP = "id long, role int, n_tokens long, n_known long, c1 binary, cv binary, c2 binary, d1 binary, dv binary, d2 binary, v long, v_kept long"
+LOOKED_UP = "id long, role int, n_tokens long, n_known long, c1 binary, c2 binary, d1 binary, d2 binary, v long, v_kept long"
 
 
 def look_up(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Per document the packed counts of its tokens, contexts and bigrams: all training counts, and for deleted documents those without the deleted."""
+    """Per document the packed counts of its tokens and bigrams: all training counts, and for deleted documents those without the deleted."""
     columns = [c.split()[0] for c in LOOKED_UP.split(", ")]
     if docs.empty:  # the rows of chunk -1
-        return pd.DataFrame([(None, -1, 0, 0, *[b""] * 6, int(answers["v"].sum()), int(answers["v_kept"].sum()))], columns=columns)
+        return pd.DataFrame([(None, -1, 0, 0, *[b""] * 4, int(answers["v"].sum()), int(answers["v_kept"].sum()))], columns=columns)
     each, sizes = _chunk_tokens(docs["text"])
     roles = docs["role"].to_numpy()
     counts = {}
@@ -152,25 +168,24 @@ def look_up(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         for name in ("train", "deleted"):
             totals = np.concatenate([unpacked(x) for x in rows[name]])
             assert len(totals) == len(keys), "answers do not fit the chunk"
-            counts[kind, name] = totals[inverse]
+            counts[kind, name] = totals.astype(np.uint32)[inverse]
     out, at = [], 0
-    n_all = int(sizes.sum())
-    for i, (doc, role) in enumerate(zip(docs["id"], roles)):
-        part = slice(at, at + sizes[i])
-        at += sizes[i]
-
-        def triple(value):
-            c1, c2 = value(1)[part], value(2)[part]
-            return c1, np.r_[value(1)[n_all + i], c1[:-1]], c2
-
-        c1, cv, c2 = triple(lambda k: counts[k, "train"])
-        kept = [packed(x - y) for x, y in zip((c1, cv, c2), triple(lambda k: counts[k, "deleted"]))] if role == 2 else [b""] * 3
-        out.append((doc, int(role), int(sizes[i]), int((c1 > 0).sum()), packed(c1), packed(cv), packed(c2), *kept, 0, 0))
+    for doc, role, size in zip(docs["id"], roles, sizes):
+        part = slice(at, at + size)
+        at += size
+        c1, c2 = counts[1, "train"][part], counts[2, "train"][part]
+        kept = [packed(c - counts[k, "deleted"][part]) for k, c in ((1, c1), (2, c2))] if role == 2 else [b"", b""]  # never below zero
+        out.append((doc, int(role), int(size), int((c1 > 0).sum()), packed(c1), packed(c2), *kept, 0, 0))
     got = pd.DataFrame(out, columns=columns)
     got["id"] = got["id"].astype("Int64")
     return got
 
 
+def contexts(c1: np.ndarray, starts: int) -> np.ndarray:
+    """Counts of the contexts of a text's tokens: of each token before, and of text starts for the first."""
+    return np.r_[starts, c1[:-1]]
+
+
 def bucket_of_context(cv: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(cv > 0, np.log2(np.maximum(cv, 1)).astype(np.int64) + 1, 0), BUCKETS - 1)
 
@@ -223,8 +238,10 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
         F.sum(F.when(F.col("role") == 1, F.col("n_tokens"))).alias("n_kept"),
         F.sum("v").alias("v"),
         F.sum("v_kept").alias("v_kept"),
+        F.sum((F.col("role") > 0).cast("long")).alias("starts"),
+        F.sum((F.col("role") == 1).cast("long")).alias("starts_kept"),
     ).first()
-    n, n_kept, v, v_kept = (int(x or 0) for x in sums)
+    n, n_kept, v, v_kept, starts, starts_kept = (int(x or 0) for x in sums)
 
     def histogram(batches):
         total = np.zeros(0, dtype=np.int64)
@@ -232,8 +249,9 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
         side = POWERS * FINE + 2
         for b in batches:
             parts = []
-            for d1, dv, d2 in zip(*(c.to_pylist() for c in b.columns)):
-                c1, cv, c2 = unpacked(d1), unpacked(dv), unpacked(d2)
+            for d1, d2 in zip(*(c.to_pylist() for c in b.columns)):
+                c1, c2 = unpacked(d1), unpacked(d2)
+                cv = contexts(c1, starts_kept)
                 p2 = np.divide(c2, cv, out=np.zeros(len(cv)), where=cv > 0)
                 parts.append((bucket_of_context(cv) * side + _cells(p2)) * side + _cells(c1 / max(n_kept, 1)))
             if parts:
@@ -244,7 +262,7 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
             cols = [total // (side * side), total // side % side, total % side, counts]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "p2", "p1", "n"])
 
-    held = looked.where("role = 2").select("d1", "dv", "d2").mapInArrow(histogram, "bucket long, p2 long, p1 long, n long")
+    held = looked.where("role = 2").select("d1", "d2").mapInArrow(histogram, "bucket long, p2 long, p1 long, n long")
     # At most BUCKETS * (POWERS * FINE + 2)^2 cells, whatever the corpus; a few thousand are met.
     cells = held.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "p2", "p1"])
     weights = learn_weights(cells, 1 / (v_kept + 1))
@@ -252,8 +270,9 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
     def scored(batches):
         for b in batches:
             base, full = [], []
-            for c1, cv, c2 in zip(*(c.to_pylist() for c in b.columns[4:7])):
-                c1, cv, c2 = unpacked(c1), unpacked(cv), unpacked(c2)
+            for c1, c2 in zip(*(c.to_pylist() for c in b.columns[4:6])):
+                c1, c2 = unpacked(c1), unpacked(c2)
+                cv = contexts(c1, starts)
                 base.append(float(np.log10((c1 + 1.0) / (n + v + 1.0)).sum()))
                 w = weights[bucket_of_context(cv)]
                 p = w[:, 1] * (c1 / max(n, 1)) + w[:, 2] / (v + 1)
@@ -262,6 +281,6 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
             out = [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    final = looked.where("role >= 0").select("id", (F.col("role") == 0).alias("held_out"), "n_tokens", "n_known", "c1", "cv", "c2")
+    final = looked.where("role >= 0").select("id", (F.col("role") == 0).alias("held_out"), "n_tokens", "n_known", "c1", "c2")
     out = final.mapInArrow(scored, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
