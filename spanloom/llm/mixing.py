@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import let
 from spanloom.llm.common import fresh
 
 #: Up to so many sources the rate table is broadcast (each row holds some hundred bytes); beyond, it is joined by shuffle.
@@ -68,7 +69,8 @@ def mix(docs: DataFrame, weights=None, alpha: float = 0.5, rows_out: int | None
     copy, repeats, order = fresh(docs, "copy", "repeats", "order")
     joined = docs.join(table, F.col(source).eqNullSafe(F.col("mix_source")))
     point = uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    counted = joined.withColumn(repeats, F.size(F.filter("cdf", lambda c: c < point)))
+    # let: the digest of the text is taken once for each row, not once for each entry of the table.
+    counted = joined.withColumn(repeats, let(point, lambda p: F.size(F.filter("cdf", lambda c: c < p))))
     spread = counted.where(F.col(repeats) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(repeats))))
     ordered = spread.withColumn(order, F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy), F.col(text_col)))
     return ordered.orderBy(order).select(*docs.columns, copy, repeats)
