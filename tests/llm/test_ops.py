@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spanloom.llm import chat, decontaminate, mixing, ngram, pii, quality, simhash, sketch, toxicity, trees, urls
-from spanloom.llm.bitslice import forest, near_pairs
+from spanloom.llm.bitslice import Forest, near_pairs
+from spanloom.llm.bitslice import near_classes as sliced_classes
 from spanloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,8 +51,27 @@ def test_bitsliced_pairs_equal_brute_force(width, radius, groups):
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and np.bitwise_count(rows[i] ^ rows[j]).sum() <= radius}
     got = {(int(i), int(j)) for a, b in near_pairs(group, rows, radius) for i, j in zip(a, b)}
     assert got == want
-    root = forest(300, [(np.array([1, 2]), np.array([2, 3])), (np.array([9]), np.array([1]))])
-    assert root[3] == root[9] == 1 and root[0] == 0
+    classes = Forest(300)
+    for i, j in want:
+        classes.join(np.array([i]), np.array([j]))
+    assert (sliced_classes(group, rows, radius) == classes.root).all()
+
+
+def test_jaccard_classes_equal_brute_force():
+    rng = np.random.default_rng(12)
+    base = [rng.integers(0, 10**6, 60) for _ in range(9)]
+    sets = []
+    for _ in range(80):
+        s = base[rng.integers(0, 9)].copy()
+        s[: rng.integers(0, 14)] = rng.integers(0, 10**6)
+        sets.append(np.unique(s).astype(np.uint64))
+    classes = Forest(80)
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                classes.join(np.array([j]), np.array([i]))
+    assert (simhash.jaccard_classes(sets, 0.8) == classes.root).all()
 
 
 # --- 1 SimHash ---------------------------------------------------------------------------------------------------------
