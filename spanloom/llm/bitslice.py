@@ -36,9 +36,11 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def near_pairs(group: np.ndarray, words: np.ndarray, radius: int):
+def near_pairs(group: np.ndarray, words: np.ndarray, radius: int, roots=None):
     """Yield (i, j) index arrays, i < j, of rows of one group at Hamming distance radius or less.
 
+    roots: a function that gives each row's class so far; pairs inside a class are then left out.
+
     group: codes, equal codes adjacent. words: [n, W] uint64. For each offset d all pairs (i, i + d) are compared at
     once, 64 to a word: planes are XORed with themselves shifted by d, three at a time go through a carry-save adder,
     and words in which every lane has exceeded the radius are abandoned.
@@ -51,11 +53,22 @@ def near_pairs(group: np.ndarray, words: np.ndarray, radius: int):
     last = np.repeat(starts + sizes, sizes)  # end of each row's group
     planes = planes_of(words)
     depth = (radius + 8).bit_length() + 1
-    for d in range(1, int(sizes.max())):
-        valid = _pack(np.arange(n) + d < last)
+    place, label, reach = np.arange(n), None, int(sizes.max())
+    for d in range(1, n):
+        if d >= reach:
+            break
+        lanes = place + d < last
+        if roots is not None:
+            if (new := roots()) is not label:
+                # Groups that are one class already need no further offsets.
+                label = new
+                apart = np.add.reduceat(label != np.repeat(label[starts], sizes), starts) > 0
+                reach = int(sizes[apart].max(initial=0))
+            lanes[: n - d] &= label[: n - d] != label[d:]
+        valid = _pack(lanes)
         act = np.flatnonzero(valid)
         if not len(act):
-            break
+            continue
         step, bit = divmod(d, 64)
         lanes = valid[act]
         counter = [np.zeros(len(act), dtype=np.uint64) for _ in range(depth)]
@@ -92,25 +105,36 @@ def near_pairs(group: np.ndarray, words: np.ndarray, radius: int):
                 yield i, i + d
 
 
-def forest(n: int, pairs) -> np.ndarray:
-    """Root (smallest index) of every row under the pairs; pairs whose ends already share a root cost no further work."""
-    root = np.arange(n)
+class Forest:
+    """Classes of rows under pairs; the root of a class is its smallest index."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        new = self.root[i] != self.root[j]
+        if not new.any():
+            return
+        root = self.root.copy()
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-    for i, j in pairs:
-        new = root[i] != root[j]
         for a, b in zip(i[new].tolist(), j[new].tolist()):
             ra, rb = find(a), find(b)
             if ra != rb:
                 root[max(ra, rb)] = min(ra, rb)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
+        while not ((up := root[root]) == root).all():
             root = up
-    return root
+        self.root = root
+
+
+def near_classes(group: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
+    """Root of every row's class under all links of the radius inside its group."""
+    classes = Forest(len(group))
+    for i, j in near_pairs(group, words, radius, lambda: classes.root):
+        classes.join(i, j)
+    return classes.root

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spanloom.llm.bitslice import forest, near_pairs
+from spanloom.llm.bitslice import Forest
+from spanloom.llm.bitslice import near_classes as sliced_classes
 from spanloom.llm.common import fresh, ids_and_text
 from spanloom.llm.components import components
 from spanloom.scratch import discard, settle
@@ -78,14 +79,17 @@ def widened(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, w0 .. w{width-1}) for every row: SimHash words as signed longs; width 1 is the plain 64-bit SimHash of XXH64."""
+    """(id, w0 .. w{width-1}) for every row: SimHash words as signed longs.
+
+    Width 1 is the plain 64-bit SimHash of XXH64 with repeats; a wider one is over distinct shingles, like Jaccard similarity.
+    """
 
     def kernel(batches):
         for b in batches:
             out = np.zeros((b.num_rows, width), dtype=np.uint64)
             for i, t in enumerate(b.column(1).cast(pa.binary())):
                 h = shingle_hashes(t.as_py(), k)
-                out[i] = majority_bits(h.reshape(-1, 1) if width == 1 else widened(h, width))
+                out[i] = majority_bits(h.reshape(-1, 1) if width == 1 else widened(np.unique(h), width))
             cols = [pa.array(np.ascontiguousarray(out[:, c]).view(np.int64)) for c in range(width)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *(f"w{c}" for c in range(width))])
 
@@ -93,6 +97,15 @@ def fingerprints(docs: DataFrame, k: int = 3, width: int = 1, id_col: str = "doc
     return ids_and_text(docs, id_col, text_col).mapInArrow(kernel, schema)
 
 
+def _named(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b) of every row to the least node of its class: tasks that meet one group agree on its centre more often."""
+    least = node.copy()
+    np.minimum.at(least, root, node)
+    b = least[root]
+    at = np.flatnonzero(node != b)
+    return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(b[at])], names=["a", "b"])
+
+
 def _compare(rows: DataFrame, width: int, radius: int) -> DataFrame:
     """rows (key .., node, w0 ..), equal keys adjacent in a partition and at most TILE-bounded -> forest links (a, b)."""
     keys = len(rows.columns) - 1 - width
@@ -105,9 +118,7 @@ def _compare(rows: DataFrame, width: int, radius: int) -> DataFrame:
                 change[1:] |= v[1:] != v[:-1]
             node = t.column(keys).to_numpy()
             words = np.stack([t.column(keys + 1 + c).to_numpy().view(np.uint64) for c in range(width)], axis=1)
-            root = forest(len(node), near_pairs(np.cumsum(change), words, radius))
-            at = np.flatnonzero(root != np.arange(len(node)))
-            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], names=["a", "b"])
+            return _named(node, sliced_classes(np.cumsum(change), words, radius))
 
         held, n = [], 0
         for b in batches:
@@ -196,23 +207,39 @@ def probable_links(prints: DataFrame, width: int, similarity: float, key_bits: i
     return _meet(rows, compared, radius, tile)
 
 
-def jaccard_links(sets: list[np.ndarray], similarity: float):
-    """Yield (i, j) index arrays of the sets whose Jaccard similarity reaches `similarity`: overlaps counted over postings."""
+def jaccard_classes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Root of each set's class under all pairs whose Jaccard similarity reaches `similarity`.
+
+    A set is held against the first set of each class before it; only if it misses one of them are its overlaps with all
+    sets before it counted, over postings. So a dense class costs one comparison a set.
+    """
     sizes = np.array([len(s) for s in sets])
     hashes, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(ids, kind="stable")
     postings = owner[order]
     start = np.searchsorted(ids[order], np.arange(len(hashes) + 1))
-    ends = np.cumsum(sizes)
-    for i in range(len(sets)):
+    classes = Forest(len(sets))
+    flag = np.zeros(len(hashes), dtype=bool)
+    for i in range(1, len(sets)):
         own = ids[ends[i] - sizes[i] : ends[i]]
-        counts = start[own + 1] - start[own]
-        at = np.repeat(start[own] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        overlap = np.bincount(postings[at], minlength=len(sets))
-        j = np.flatnonzero(overlap[:i] >= similarity * (sizes[:i] + sizes[i] - overlap[:i]))
-        if len(j):
-            yield j, np.full(len(j), i)
+        flag[own] = True
+        firsts = np.flatnonzero(classes.root[:i] == np.arange(i))
+        near = []
+        for f in firsts.tolist() if len(firsts) <= 4 else ():
+            overlap = int(flag[ids[ends[f] - sizes[f] : ends[f]]].sum())
+            if overlap >= similarity * (sizes[f] + sizes[i] - overlap):
+                near.append(f)
+        flag[own] = False
+        if len(near) < len(firsts):
+            counts = start[own + 1] - start[own]
+            at = np.repeat(start[own] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+            overlap = np.bincount(postings[at], minlength=len(sets))[:i]
+            near = np.flatnonzero(overlap >= similarity * (sizes[:i] + sizes[i] - overlap))
+        if len(near):
+            classes.join(np.asarray(near), np.full(len(near), i))
+    return classes.root
 
 
 def _proved(members: DataFrame, k: int, similarity: float, tile: int) -> DataFrame:
@@ -231,10 +258,8 @@ def _proved(members: DataFrame, k: int, similarity: float, tile: int) -> DataFra
 
     def kernel(batches):
         def links(nodes, sets):
-            root = forest(len(nodes), jaccard_links(sets, similarity)) if len(nodes) > 1 else np.zeros(1, dtype=np.int64)
-            at = np.flatnonzero(root != np.arange(len(nodes)))
-            nodes = np.array(nodes, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["a", "b"])
+            root = jaccard_classes(sets, similarity) if len(nodes) > 1 else np.zeros(1, dtype=np.int64)
+            return _named(np.array(nodes, dtype=np.int64), root)
 
         last, nodes, sets = None, [], []
         for b in batches:
