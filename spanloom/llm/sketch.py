@@ -76,7 +76,7 @@ def _bucket(value: Column, bounds: list) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, least, kept, next_text, next_least, next_kept): each document beside the next by descending id.
+    """(id, text, next_text): each document beside the next by descending id.
 
     Equal ids are ordered by text; after the last comes the first. Ids are cut at approximate quantiles into buckets and
     looked ahead inside each, so that no window holds the table; the first row of each bucket (as many rows as there are
@@ -100,18 +100,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.col("bucket").alias("ring_bucket"),
         F.coalesce(F.lead("first_text").over(down), F.first("first_text").over(down)).alias("text"),
     )
-    ring = with_sketch(ring, "text", "ring_least", "ring_kept").withColumnRenamed("text", "ring_text")
-    own = with_sketch(rows, "text", "least", "kept")
+    # Only texts are shuffled: a sketch is cheaper to make again than to carry.
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), "text")
-    ahead = own.withColumn("ahead", F.lead(F.struct("text", "least", "kept")).over(order))
-    out = ahead.join(F.broadcast(ring), F.col("bucket") == F.col("ring_bucket"), "left")
-    pick = lambda a, b: F.when(F.col("ahead").isNotNull(), F.col(f"ahead.{a}")).otherwise(F.col(b))
-    return out.select(
-        "id", "text", "least", "kept",
-        pick("text", "ring_text").alias("next_text"),
-        pick("least", "ring_least").alias("next_least"),
-        pick("kept", "ring_kept").alias("next_kept"),
-    )
+    ahead = rows.withColumn("ahead", F.lead("text").over(order))
+    out = ahead.join(F.broadcast(ring.withColumnRenamed("text", "ring_text")), F.col("bucket") == F.col("ring_bucket"), "left")
+    return out.select("id", "text", F.coalesce("ahead", "ring_text").alias("next_text"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +112,9 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars") - half), F.substr("next_text", F.lit(1), half))
-    rows = with_sketch(rows.withColumn("edited_text", edited), "edited_text", "edited_least", "edited_kept")
+    rows = rows.withColumn("edited_text", edited)
+    for name, least, kept in (("text", "least", "kept"), ("edited_text", "edited_least", "edited_kept"), ("next_text", "next_least", "next_kept")):
+        rows = with_sketch(rows, name, least, kept)
     return rows.select(
         "id",
         F.col("n_chars").cast("long").alias("n_chars"),
