@@ -5,10 +5,12 @@ bootstrap, as do long hexadecimal secrets: every identifier-like token (it has d
 under a lexical pattern, the two words before it. Over the bipartite graph of patterns and instances Spark alternates
 
     score(pattern, kind)  = share of the pattern's occurrences that are believed instances of the kind
-    belief(instance, kind) = 1 for seeds, else 1 - prod(1 - score(pattern, kind)) over its patterns
+    belief(instance, kind) = 1 for seeds, else 1 - prod(1 - score(pattern, kind)) over its patterns with support
 
-for a fixed number of rounds. Patterns with at least `support` distinct seed instances of a kind and a score of
-`confidence` or more are trusted: every token under them is a span of that kind, if it meets no base span.
+for a fixed number of rounds. A pattern has support in a round if at least `support` distinct instances under it are seeds
+of the kind or have a belief of `confidence` or more, whether or not a seed was met there: what one round finds can bear new
+patterns in the next. Patterns with support and a score of `confidence` or more in the last round are trusted: every token
+under them is a span of that kind, if it meets no base span.
 
 Defined results: null and empty texts have no spans; ids may be null or repeated, each row has its own result; rows
 that repeat id and text share what was discovered; an empty table gives no rows; `redact` keeps all other columns.
@@ -157,24 +159,24 @@ def trusted(met: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
     graph = settle(
         met.where("pattern <> ''").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph"
     )
-    # Only patterns that some seed was met under can ever score.
-    seeded = graph.where("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.countDistinct("instance").alias("seeds"))
-    able = seeded.where(F.col("seeds") >= support)
     total = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
-    edges = settle(graph.join(able, "pattern").join(total, "pattern"), "edges")
-    belief = edges.where("seed = kind").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
-    for _ in range(rounds):
-        held = edges.join(belief, ["instance", "kind"], "left").fillna(0.0, ["belief"])
-        score = held.groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"))
-        noisy = edges.join(score, ["pattern", "kind"]).groupBy("instance", "kind").agg(
-            F.max((F.col("seed") == F.col("kind")).cast("double")).alias("seeded"),
-            F.max(F.when((F.col("seed") != "") & (F.col("seed") != F.col("kind")), 1).otherwise(0)).alias("other"),
-            (1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(1 - 1e-9)))))).alias("belief"),
-        )
-        belief = settle(
-            noisy.select("instance", "kind", F.when(F.col("seeded") > 0, 1.0).when(F.col("other") > 0, 0.0).otherwise(F.col("belief")).alias("belief")),
-            "belief",
+    seeds = settle(graph.where("seed <> ''").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct(), "seeds")
+    known = seeds.select("instance", F.lit(True).alias("known")).distinct()
+    edges = graph.select("pattern", "instance", "n").join(total, "pattern").join(known, "instance", "left")
+    edges = settle(edges.withColumn("known", F.coalesce("known", F.lit(False))), "edges")
+    belief = seeds
+    for i in range(rounds):
+        # Every pattern of an instance with belief is scored anew, so that instances found in one round bear patterns of the next.
+        score = (
+            edges.join(belief, "instance")
+            .groupBy("pattern", "kind")
+            .agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"), F.count_if(F.col("belief") >= confidence).alias("believed"))
+            .where(F.col("believed") >= support)
         )
+        if i + 1 < rounds:
+            noisy = edges.where("not known").join(score, "pattern").groupBy("instance", "kind")
+            noisy = noisy.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(1 - 1e-9)))))).alias("belief"))
+            belief = settle(noisy.unionByName(seeds), "belief")
     best = F.max_by("kind", F.struct("score", "kind"))
     return score.where(F.col("score") >= confidence).groupBy("pattern").agg(best.alias("kind"))
 

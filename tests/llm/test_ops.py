@@ -352,3 +352,13 @@ def test_bootstrap_discovers_and_redacts(spark):
     assert clean[16].text == "mail [EMAIL] now" and clean[16].n_chars == 16 and clean[12].text == "note my phone is [PHONE] ok" and clean[14].text is None
     assert pii.redact(docs).columns == docs.columns and clean[13].text == texts[13]
     assert pii.extract(docs.where("false")).count() == 0 and pii.redact(docs.where("false")).count() == 0
+
+
+def test_bootstrap_reaches_patterns_without_seeds(spark):
+    """'open ticket' has no seed, and 'reach me' two: both are borne by instances that 'phone is' discovers."""
+    found = [f"5550-99-7{i}" for i in range(4)]
+    texts = [f"my phone is +1 (555) 555-{1000 + i} today" for i in range(12)] + [f"my phone is {x} today" for x in found]
+    texts += [f"an open ticket {x} here" for x in found] + [f"please reach me +1 (555) 555-{1000 + i} now" for i in range(2)] + [f"please reach me {x} now" for x in found[:2]]
+    texts += ["an open ticket 5550-99-80 here", "please reach me 5550-99-81 now", "an open window 5550-99-82 here"]
+    got = [r.spans for r in pii.extract(make_docs(spark, texts)).orderBy("id").collect()]
+    assert got[-3:] == ["phone:15:25", "phone:16:26", ""]
