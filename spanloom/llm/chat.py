@@ -1,7 +1,7 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns; a template marks the turns.
 
-A row's fingerprint hashes the sorted nested field paths that it fills, among those that a mapping knows; the mapping
-with that fingerprint turns the row into `turns array<struct<role,text>>`. Paths that no mapping knows do not matter.
+A row's fingerprint hashes the sorted nested field paths that it fills, among those that a mapping knows; the mapping that
+has this fingerprint, with or without its optional paths, turns the row into `turns array<struct<role,text>>`. Paths that no mapping knows do not matter.
 
 The template is <|im_start|>role<|im_sep|>text<|im_end|> for each turn. Inside roles and texts every '<', '[' and '\\'
 is followed by an added '\\', so that no control string of this or of a bracketed template can appear there;
@@ -15,7 +15,9 @@ its own; no rows give no rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,72 +30,105 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """paths: the nested field paths of the layout. either turns = (role, fields joined by blank lines) or a list of messages."""
+    """A layout: the nested field paths that a row always fills and those that it may fill, at top level or below.
+
+    Turns are (role, fields joined by blank lines), where one of optional fields alone is left out if they are null; or the
+    structs of a column, a list or one, by its fields role and text. as_is: roles stay as they are written.
+    """
 
     paths: tuple[str, ...]
+    optional: tuple[str, ...] = ()
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     messages: str = ""
     role: str = ""
     text: str = ""
+    as_is: bool = False
+
+    def fingerprints(self) -> list[str]:
+        """The filled paths, sorted and joined, of every row that has this layout."""
+        subsets = (c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n))
+        return ["|".join(sorted((*self.paths, *c))) for c in subsets]
+
+
+def _fields(user: tuple[str, ...], assistant: str, optional: tuple[str, ...] = ()) -> Mapping:
+    required = tuple(f for f in (*user, assistant) if f not in optional)
+    return Mapping(required, ("system", *optional), turns=(("system", ("system",)), ("user", user), ("assistant", (assistant,))))
+
+
+def _messages(column: str, role: str, text: str) -> Mapping:
+    return Mapping((column,), ("system", f"{column}[].{role}", f"{column}[].{text}"), (("system", ("system",)),), column, role, text)
 
 
 MAPPINGS = (
-    Mapping(("messages[].content", "messages[].role"), messages="messages", role="role", text="content"),
-    Mapping(("conversations[].from", "conversations[].value"), messages="conversations", role="from", text="value"),
-    Mapping(("completion", "prompt"), turns=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping(("prompt", "response"), turns=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping(("completion", "prompt", "system"), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping(("instruction", "output"), turns=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping(("input", "instruction", "output"), turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Mapping(("answer", "question"), turns=(("user", ("question",)), ("assistant", ("answer",)))),
+    _messages("messages", "role", "content"),
+    _messages("conversations", "from", "value"),
+    _fields(("prompt",), "completion"),
+    _fields(("prompt",), "response"),
+    _fields(("instruction", "input"), "output", ("input",)),
+    _fields(("question",), "answer"),
+    #: One turn in a row of its own.
+    Mapping(("message",), ("message.role", "message.text"), messages="message", role="role", text="text", as_is=True),
 )
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def field_paths(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
-    """(path, top-level column) of every leaf; an array adds [] to its path."""
-    out = []
+def filled_paths(schema: T.StructType) -> dict[str, Callable[[Column], Column]]:
+    """Path -> whether a value of the schema fills it, for every field at any depth; an array adds [] to the paths in it.
+
+    A struct or array is filled if it is not null, a path inside an array if any element fills it.
+    """
+    out: dict[str, Callable[[Column], Column]] = {}
     for f in schema.fields:
-        path, kind = prefix + f.name, f.dataType
-        while isinstance(kind, T.ArrayType):
-            path, kind = path + "[]", kind.elementType
-        if isinstance(kind, T.StructType):
-            out += [(p, f.name) for p, _ in field_paths(kind, path + ".")]
-        else:
-            out.append((path, f.name))
+        out[f.name] = lambda row, name=f.name: row[name].isNotNull()
+        for path, test in _below(f.dataType).items():
+            out[f.name + path] = lambda row, name=f.name, test=test: F.coalesce(test(row[name]), F.lit(False))
     return out
 
 
+def _below(kind: T.DataType) -> dict[str, Callable[[Column], Column]]:
+    if isinstance(kind, T.StructType):
+        return {f".{path}": test for path, test in filled_paths(kind).items()}
+    if isinstance(kind, T.ArrayType):
+        return {f"[]{path}": lambda x, test=test: F.exists(x, lambda e: test(e)) for path, test in _below(kind.elementType).items()}
+    return {}
+
+
 def canonical_role(role: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     return F.coalesce(known[F.lower(F.coalesce(role, F.lit("")))], role, F.lit(""))
 
 
 def _message(m: Mapping):
-    return lambda x: F.struct(canonical_role(x[m.role].cast("string")).alias("role"), F.coalesce(x[m.text].cast("string"), F.lit("")).alias("text"))
+    role = (lambda r: F.coalesce(r, F.lit(""))) if m.as_is else canonical_role
+    return lambda x: F.struct(role(x[m.role].cast("string")).alias("role"), F.coalesce(x[m.text].cast("string"), F.lit("")).alias("text"))
+
+
+def _made(df: DataFrame, m: Mapping) -> Column:
+    parts = []
+    for role, names in m.turns:
+        there = [f for f in names if f in df.columns]
+        if not there:
+            continue
+        told = F.concat_ws("\n\n", *[F.nullif(df[f].cast("string"), F.lit("")) for f in there])
+        turn = F.array(F.struct(F.lit(role).alias("role"), told.alias("text"))).cast(TURNS)
+        parts.append(turn if set(there) - set(m.optional) else F.when(F.coalesce(*[df[f].cast("string") for f in there]).isNotNull(), turn).otherwise(F.array().cast(TURNS)))
+    if m.messages:
+        listed = df[m.messages] if isinstance(df.schema[m.messages].dataType, T.ArrayType) else F.array(df[m.messages])
+        parts.append(F.transform(listed, _message(m)).cast(TURNS))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def canonical_turns(df: DataFrame, mappings=MAPPINGS) -> DataFrame:
     """df of mixed layouts -> its columns, with schema_fingerprint (long) and turns (null where no mapping has the fingerprint)."""
-    known = {p for m in mappings for p in m.paths}
-    leaf = {p: top for p, top in field_paths(df.schema) if p in known}
-    there = [F.when(df[top].isNotNull(), F.lit(p)) for p, top in sorted(leaf.items())]
+    known = {p for m in mappings for p in (*m.paths, *m.optional)}
+    filled = {p: test for p, test in filled_paths(df.schema).items() if p in known}
+    there = [F.when(test(df), F.lit(p)) for p, test in sorted(filled.items())]
     fingerprint = F.xxhash64(F.concat_ws("|", *there) if there else F.lit(""))
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
-        if not set(m.paths) <= set(leaf):
-            continue
-        if m.messages:
-            made = F.transform(df[m.messages], _message(m))
-        else:
-            made = F.array(
-                *[
-                    F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[F.nullif(df[f].cast("string"), F.lit("")) for f in fields]).alias("text"))
-                    for role, fields in m.turns
-                ]
-            )
-        own = F.xxhash64(F.lit("|".join(sorted(m.paths))))
-        turns = F.when(fingerprint == own, made.cast(TURNS)).otherwise(turns)
+        below = {p for p in m.optional if m.messages and p.startswith(m.messages)}
+        if {*m.paths, *below} <= set(filled):
+            turns = F.when(fingerprint.isin([F.xxhash64(F.lit(f)) for f in m.fingerprints()]), _made(df, m)).otherwise(turns)
     extra = [c for c in df.columns if c not in ("schema_fingerprint", "turns")]
     return df.select(*[df[c] for c in extra], fingerprint.alias("schema_fingerprint"), turns.alias("turns"))
 
@@ -106,9 +141,15 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\<\[])\\", "$1")
 
 
-def turn_rows(df: DataFrame, conv: str = "conv_id", turns: str = "turns") -> DataFrame:
-    """A row for each turn of canonical turns: conv, turn, role, text."""
-    return df.select(F.col(conv), F.posexplode(turns).alias("turn", "t")).select(conv, "turn", "t.role", "t.text")
+def turn_rows(df: DataFrame, conv: str = "conv_id", turns: str = "turns", order: str | None = None) -> DataFrame:
+    """A row for each turn of canonical turns: conv, turn, role, text.
+
+    A row that no mapping knows (null turns) stays, as one row with null role and text. order: a column that numbers the
+    rows of a conversation, where it has several; turn is then (order, place in the row).
+    """
+    made = df.select(F.col(conv), *([F.col(order).alias("of_row")] if order else []), F.posexplode_outer(turns).alias("at", "t"))
+    turn = F.struct("of_row", "at") if order else F.col("at")
+    return made.select(conv, turn.alias("turn"), "t.role", "t.text")
 
 
 def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn=("assistant",)) -> DataFrame:

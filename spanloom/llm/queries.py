@@ -37,7 +37,9 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    out = chat.format_turns(rows.unionByName(planted))
+    message = F.struct("role", "text").alias("message")
+    mapped = chat.canonical_turns(rows.unionByName(planted).select("conv_id", "turn", message))
+    out = chat.format_turns(chat.turn_rows(mapped, order="turn"))
     out = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
     return out.select(
         "conv_id",

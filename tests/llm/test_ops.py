@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, mixing, ngram, pii, quality, simhash, sketch, toxicity, trees, urls
+from spanloom.llm import chat, decontaminate, mixing, ngram, pii, quality, queries, simhash, sketch, toxicity, trees, urls
 from spanloom.llm.bitslice import Forest, near_pairs
 from spanloom.llm.bitslice import near_classes as sliced_classes
 from spanloom.llm.components import components
@@ -185,6 +185,30 @@ def test_chat_layouts(spark):
     assert got == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "i\n\nn"), ("assistant", "o")], 3: [("user", "i"), ("assistant", "o")], 4: [("user", "h"), ("assistant", "")], 5: None}
 
 
+def test_chat_fingerprints_nested_and_optional_fields(spark):
+    schema = "n int, system string, prompt string, completion string, instruction string, input string, output string, messages array<struct<role:string,content:string>>, message struct<role:string,text:string>"
+    rows = [(1, "s", "p", "c", None, None, None, None, None), (2, "s", None, None, "i", None, "o", None, None), (3, "s", None, None, None, None, None, [("human", "h")], None),
+            (4, None, None, None, None, None, None, [(None, "x")], None), (5, None, None, None, None, None, None, [], None), (6, None, None, None, None, None, None, None, ("human", None)),
+            (7, None, None, None, None, None, None, None, (None, None)), (8, None, "p", None, None, None, None, None, None), (9, None, None, None, "i", "n", "o", None, None)]
+    made = chat.canonical_turns(spark.createDataFrame(rows, schema))
+    got = {r.n: r for r in made.collect()}
+    assert {n: r.turns and [tuple(t) for t in r.turns] for n, r in got.items()} == {
+        1: [("system", "s"), ("user", "p"), ("assistant", "c")], 2: [("system", "s"), ("user", "i"), ("assistant", "o")], 3: [("system", "s"), ("user", "h")], 4: [("", "x")], 5: [],
+        6: [("human", "")], 7: [("", "")], 8: None, 9: [("user", "i\n\nn"), ("assistant", "o")],
+    }
+    assert len({got[n].schema_fingerprint for n in (3, 4, 5, 6, 7)}) == 5
+    out = chat.turn_rows(made.where("n in (2, 8)"), "n", order="n").collect()
+    assert [(r.n, r.turn.at, r.role, r.text) for r in sorted(out, key=lambda r: (r.n, r.turn.at or 0))] == [(2, 0, "system", "s"), (2, 1, "user", "i"), (2, 2, "assistant", "o"), (8, None, None, None)]
+
+
+def test_chat_query_maps_its_rows(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 0, "user", "a"), (1, 1, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen, real = [], chat.canonical_turns
+    monkeypatch.setattr(chat, "canonical_turns", lambda df: seen.append(real(df)) or seen[-1])
+    assert {r.conv_id: r.n_turns for r in queries.op3_chat(spark, str(tmp_path)).collect()} == {1: 2, -7: 2}
+    assert seen[0].count() == 4 and seen[0].where("turns is null").count() == 0
+
+
 # --- 4 LM scoring ------------------------------------------------------------------------------------------------------
 
 
