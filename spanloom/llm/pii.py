@@ -2,7 +2,8 @@
 
 Base spans come from four fixed patterns (email, ip, card, phone), found by linear scans of whole texts. They seed a
 bootstrap, as do long hexadecimal secrets: every identifier-like token (it has digits or an at sign) is an instance met
-under a lexical pattern, the two words before it. Over the bipartite graph of patterns and instances Spark alternates
+under a lexical pattern, the two words before it. Groups of digits after single blanks belong to the token before them, so a
+number that happens to follow an identifier is taken as part of it. Over the bipartite graph of patterns and instances Spark alternates
 
     score(pattern, kind)  = share of the pattern's occurrences that are believed instances of the kind
     belief(instance, kind) = 1 for seeds, else 1 - prod(1 - score(pattern, kind)) over its patterns with support
@@ -40,8 +41,15 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z])")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: An identifier-like token: a run without white space, quotes or brackets that has a digit or an at sign; a phone may have spaces.
+#: An identifier-like token: a run without white space, quotes or brackets that has a digit or an at sign.
 TOKEN = re.compile(r"[^\s\"'<>\[\]{}|,;]+")
+#: A token runs on over a single blank to a group of digits after digits, and over the bank's letters in an IBAN.
+GROUP = re.compile(
+    r"(?:(?<=[0-9)])\x20(?=[0-9]|\([0-9]+\))|(?<=\b[A-Z]{2}[0-9]{2})\x20(?=[A-Z]{4}\x20[0-9]{4})|(?<=\b[A-Z]{2}[0-9]{2}\x20[A-Z]{4})\x20(?=[0-9]{4}))"
+    r"[^\s\"'<>\[\]{}|,;]+"
+)
+#: Characters besides blanks that joined groups have at most: those of the longest IBAN.
+LONGEST = 34
 WORD = re.compile(r"\S+")
 DIGIT_OR_AT = re.compile(r"[0-9@]")
 
@@ -114,11 +122,14 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, s
         while a > i and TOKEN.match(text[a - 1]):
             a -= 1
         b = TOKEN.match(text, p).end()
+        limit = covered[0][0] if covered else len(text)
+        size = b - a
+        while (m := GROUP.match(text, b)) and m.end() <= limit and (size := size + m.end() - b - 1) <= LONGEST:
+            b = m.end()
         i = b
         while b > p and text[b - 1] in ".:!?)*#$%&":
             b -= 1
-        token = text[a:b]
-        if covered and b > covered[0][0] or sum(c.isdigit() for c in token) < 4 and "@" not in token:
+        if b > limit:
             continue
         found.append((a, b, ""))
     out = []

@@ -386,3 +386,21 @@ def test_bootstrap_reaches_patterns_without_seeds(spark):
     texts += ["an open ticket 5550-99-80 here", "please reach me 5550-99-81 now", "an open window 5550-99-82 here"]
     got = [r.spans for r in pii.extract(make_docs(spark, texts)).orderBy("id").collect()]
     assert got[-3:] == ["phone:15:25", "phone:16:26", ""]
+
+
+def test_candidates_of_spaced_and_short_identifiers():
+    whole = ["030 123 456", "030 1234 5678", "555-123 4567", "(030) 123 456", "AB-123", "7", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "me@home"]
+    for x in whole:
+        for text in (f"my phone is {x}", f"my phone is {x}, ok", f"my phone is {x} and  more."):
+            assert pii.candidates(text, pii.base_spans(text)) == [("phone is", x, "", 12, 12 + len(x))], text
+    got = lambda t: [c[1] for c in pii.candidates(t, pii.base_spans(t))]
+    assert got("is 030 123  456") == ["030 123", "456"] and sorted(got("at 12 10.0.0.1 now")) == ["10.0.0.1", "12"]
+    many = got("n " + "1234 " * 50)
+    assert all(len(x.replace(" ", "")) <= pii.LONGEST for x in many) and "".join(many).replace(" ", "") == "1234" * 50
+    assert got("AB12 THIS TEXT") == ["AB12"]
+
+
+def test_bootstrap_discovers_spaced_and_short_identifiers(spark):
+    seeds = [f"my phone is +1 (555) 555-{1000 + i} today" for i in range(12)]
+    docs = make_docs(spark, [*seeds, "my phone is 030 123 456 ok", "my phone is 555-123 4567 ok", "my phone is AB-123 ok", "the room is AB-123 or 7"])
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()][12:] == ["my phone is [PHONE] ok"] * 3 + ["the room is AB-123 or 7"]
