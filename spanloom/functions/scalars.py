@@ -59,7 +59,7 @@ def font_family(font: Column) -> Column:
 def angle_degrees(base_x: Column, base_y: Column, end_x: Column, end_y: Column) -> Column:
     """Clockwise angle of a baseline in [0, 360), three decimals; a baseline without length has angle 0."""
     dx, dy = end_x - base_x, end_y - base_y
-    turned = F.pmod(F.round(-F.degrees(F.atan2(dy, dx)), 3), F.lit(360.0))
+    turned = F.pmod(F.round(-F.degrees(F.atan2(dy, dx)), 3), F.lit(360.0)) + F.lit(0.0)  # no negative zero
     return F.when((dx == 0) & (dy == 0), 0.0).otherwise(turned)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from spanloom.catalog import KINDS, SENTENCE_KINDS
 from spanloom.functions.scalars import trimmed_number, xml_escaped
-from spanloom.functions.spans import let
+from spanloom.functions.spans import islands, let
 from spanloom.operators.redact import DEFAULT, candidates
 from spanloom.operators.resolve import resolve
 from spanloom.options import RedactionOptions
@@ -48,24 +48,18 @@ def _end(d: Column) -> Column:
 def widened(sentences: Column, tokens: Column, text: Column) -> Column:
     """Each sentence becomes the hull of the chain of overlapping tokens and sentences that it is part of.
 
-    One sweep over the spans by start builds the chains: a span that starts before the running end joins the open chain.
+    Chains are the islands of the spans in the order of their starts.
     """
-    item = lambda sentence: lambda d: F.struct(d["start"].alias("a"), _end(d).alias("z"), F.lit(sentence).alias("s"), d["kind"].alias("kind"))
+    item = lambda sentence: lambda d: F.struct(d["start"].alias("start"), d["length"].alias("length"), F.lit(sentence).alias("s"), d["kind"].alias("kind"))
     every = F.array_sort(F.concat(F.transform(sentences, item(True)), F.transform(tokens, item(False))))
-    chain = "struct<a:int,z:int,s:boolean,kind:string>"
-    zero = F.array().cast(f"array<{chain}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(
-            last["a"].alias("a"), F.greatest(last["z"], x["z"]).alias("z"), (last["s"] | x["s"]).alias("s"),
-            F.when(x["s"], x["kind"]).otherwise(F.when(last["s"], last["kind"]).otherwise(x["kind"])).alias("kind"),
-        ).cast(chain)
-        joins = (F.size(acc) > 0) & (x["a"] < F.get(acc, F.size(acc) - 1)["z"])
-        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, x.cast(chain)))
-
-    hulls = F.filter(F.aggregate(every, zero, step), lambda c: c["s"])
-    return F.transform(hulls, lambda c: F.struct(c["kind"].alias("kind"), c["a"].alias("start"), (c["z"] - c["a"]).alias("length"), F.substr(text, c["a"] + 1, c["z"] - c["a"]).alias("text")))
+
+    def hull(chain: Column) -> Column:
+        a, z = F.get(chain, F.lit(0))["start"], F.array_max(F.transform(chain, _end))
+        kind = F.element_at(F.filter(chain, lambda c: c["s"]), -1)["kind"]
+        return F.struct(kind.alias("kind"), a.alias("start"), (z - a).alias("length"), F.substr(text, a + 1, z - a).alias("text"))
+
+    with_sentence = lambda chains: F.filter(chains, lambda c: F.exists(c, lambda x: x["s"]))
+    return let(every, lambda e: F.when(F.size(e) > 0, F.transform(with_sentence(islands(e)), hull)).otherwise(F.transform(F.slice(e, 1, 0), lambda x: hull(F.array(x)))))
 
 
 def merge_passes(text: Column, by_line: Column, across: Column) -> Column:

@@ -92,7 +92,7 @@ def email(text: Column) -> Column:
 
 
 def phone(text: Column) -> Column:
-    return find(text, PHONE, only_if=_has(text, r"\d{4}|\+\d"))
+    return find(text, PHONE, only_if=_has(text, r"\d{3}[\s.-]\d{4}|\+\d"))
 
 
 def ipv4(text: Column) -> Column:
@@ -101,15 +101,15 @@ def ipv4(text: Column) -> Column:
 
 
 def passport(text: Column) -> Column:
-    return find(text, PASSPORT, "$1", "$2", text.rlike("(?i)passport"))
+    return find(text, PASSPORT, "$1", "$2", _has(text, HAS_DIGIT) & text.rlike("(?i)passport"))
 
 
 def drivers_license(text: Column) -> Column:
-    return find(text, LICENSE, "$1", "$2", text.rlike("(?i)licen[cs]e|dl"))
+    return find(text, LICENSE, "$1", "$2", _has(text, HAS_DIGIT) & text.rlike(r"(?i)licen[cs]e|(?U:\bdl\b)"))
 
 
 def medical_record(text: Column) -> Column:
-    return find(text, MRN, "$1", "$2", text.rlike("(?i)mrn|medical|patient"))
+    return find(text, MRN, "$1", "$2", _has(text, HAS_DIGIT) & text.rlike("(?i)mrn|medical|patient"))
 
 
 def health_plan(text: Column) -> Column:
@@ -138,7 +138,7 @@ def swift(text: Column) -> Column:
 
 
 def account(text: Column) -> Column:
-    return keep(find(text, ACCOUNT, "$1", "$2", text.rlike("(?i)acc|a/c|routing|aba")), lambda v: F.length(_digits(v)).between(6, 24))
+    return keep(find(text, ACCOUNT, "$1", "$2", _has(text, r"\d[\d -]{4}") & text.rlike("(?i)acc|a/c|routing|aba")), lambda v: F.length(_digits(v)).between(6, 24))
 
 
 def address(text: Column) -> Column:

@@ -76,6 +76,13 @@ SALUTATION = (
 LISTED = rf"(?U)(?<![\p{{L}}\p{{M}}'’-]){RUN}{NOT_INSIDE}"
 
 
+#: Cheap tests of whole texts: what every match of a rule holds, beginning at a character that is rare in running text.
+HAS_ABBREVIATED = r"[MDPRHSCLGF](?:rs?|s|x|rof|e[vpn]|on|apt|ol|t|gt)\.?[ \t]+\p{Lu}"
+HAS_SPELLED_OUT = r"[MPRSCLGFBJ](?:iss|rofessor|everend|enator|epresentative|aptain|olonel|ieutenant|ergeant|eneral|ather|ister|rother|udge|ustice)[ \t]+\p{Lu}"
+HAS_LABEL = r"(?U)[:\-–]\s*\p{Lu}"
+HAS_SALUTATION = r"(?U)[RSYrsy](?=(?:[ \t]*,\s*|\s+)\p{Lu})(?<=(?i:dear|sincerely|regards|truly|faithfully|cordially|respectfully))"
+
+
 def is_sentence_start(text: Column, index: Column) -> Column:
     """Only blanks lie between the index and the text's start, a line break, a terminator, a colon, or an opening mark."""
     before = F.rtrim(F.translate(F.substr(text, F.lit(1), index), "\t", " "))
@@ -83,7 +90,11 @@ def is_sentence_start(text: Column, index: Column) -> Column:
 
 
 def _words(run: Column) -> Column:
-    return F.transform(find(run["text"], r"(?U)\S+"), lambda w: F.struct(w["start"].alias("start"), w["length"].alias("length"), F.rtrim(w["text"], F.lit(",")).alias("word"), w["text"].alias("text")))
+    """The few words of a run, each with its place in it."""
+    pieces = F.regexp_extract_all(run["text"], F.lit("[^ \t]+[ \t]*"), F.lit(0))
+    start = lambda p, i: F.length(F.array_join(F.slice(p, F.lit(1), i), ""))
+    word = lambda p, i, text: F.struct(start(p, i).alias("start"), F.length(text).alias("length"), F.rtrim(text, F.lit(",")).alias("word"), text.alias("text"))
+    return let(pieces, lambda p: F.transform(p, lambda x, i: word(p, i, F.rtrim(x, F.lit(" \t")))))
 
 
 def _end(words: Column, first: Column) -> Column:
@@ -127,10 +138,9 @@ def _listed(text: Column, runs: Column, names, ambiguous) -> Column:
 def person_names(text: Column, given_names=tuple(GIVEN_NAMES), ambiguous_names=tuple(AMBIGUOUS_NAMES)) -> Column:
     """Names without their titles and labels; where rules overlap the longest span stays."""
     names = [*given_names, *ambiguous_names]
-    has_capital = text.rlike(r"\p{Lu}[\p{Ll}.'’]")
-    anchored = lambda p, n: _anchored(find(text, p, "$1", "$2", has_capital), n)
-    # Texts without any listed word are not scanned for runs: one pass over their words against a hash set.
-    has_name = has_capital & F.arrays_overlap(F.split(text, r"[^\p{L}\p{M}]+"), F.split(F.lit("\x1f".join(names)), "\x1f"))
+    anchored = lambda p, test, n: _anchored(find(text, p, "$1", "$2", text.rlike(test)), n)
+    # Texts without any listed word are not scanned for runs: one pass over their capitalised words against a hash set.
+    has_name = F.arrays_overlap(F.regexp_extract_all(text, F.lit(r"\p{Lu}[\p{L}\p{M}]+"), F.lit(0)), F.split(F.lit("\x1f".join(names)), "\x1f"))
     runs = F.filter(find(text, LISTED, only_if=has_name), lambda r: F.exists(F.split(r["text"], "[ \t]+"), lambda w: one_of(w, names)))
-    every = F.concat(anchored(ABBREVIATED, 1), anchored(SPELLED_OUT, 2), anchored(LABEL, 1), anchored(SALUTATION, 1), _listed(text, runs, names, ambiguous_names))
+    every = F.concat(anchored(ABBREVIATED, HAS_ABBREVIATED, 1), anchored(SPELLED_OUT, HAS_SPELLED_OUT, 2), anchored(LABEL, HAS_LABEL, 1), anchored(SALUTATION, HAS_SALUTATION, 1), _listed(text, runs, names, ambiguous_names))
     return resolve_spans(every.cast(SPANS))

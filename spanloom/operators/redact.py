@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.catalog import KINDS
+from spanloom.functions.spans import let, spliced
 from spanloom.operators.detectors import detectors_for
 from spanloom.operators.resolve import DETECTIONS, resolve
 from spanloom.options import RedactionOptions
@@ -33,21 +35,17 @@ def detect(df: DataFrame, text: str = "text", options: RedactionOptions = DEFAUL
 
 def applied(text: Column, detections: Column, options: RedactionOptions = DEFAULT) -> Column:
     """The text with every detection replaced by its kind's placeholder. Detections must be ordered and disjoint."""
-    from spanloom.catalog import KINDS
-
     shape = F.create_map(*[F.lit(x) for k in KINDS for x in (k.name, options.placeholder_for(k.name))])
     end = lambda d: d["start"] + d["length"]
-    before = lambda i: F.coalesce(end(F.get(detections, i - 1)), F.lit(0))
-    wrong = F.exists(
-        F.transform(detections, lambda d, i: (d["start"] < F.when(i == 0, 0).otherwise(before(i))) | (end(d) > F.length(text))), lambda b: b
-    )
-    parts = F.transform(
-        detections,
-        lambda d, i: F.concat(F.substr(text, F.when(i == 0, 0).otherwise(before(i)) + 1, d["start"] - F.when(i == 0, 0).otherwise(before(i))), shape[d["kind"]]),
-    )
-    tail = F.substr(text, end(F.element_at(detections, -1)) + 1)
-    checked = F.when(wrong, F.raise_error(F.lit("Detections must be non-overlapping, ordered, and within the text.")).cast("string")).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return F.when(text.isNull() | (F.size(detections) == 0), text).otherwise(checked)
+
+    def edited(found: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(end(F.get(found, i - 1)))
+        wrong = F.exists(F.transform(found, lambda d, i: d["start"] < before(i)), lambda b: b) | (end(F.element_at(found, -1)) > F.length(text))
+        edits = F.transform(found, lambda d, i: F.struct(before(i).alias("a"), d["start"].alias("z"), shape[d["kind"]].alias("put")))
+        whole = F.concat(spliced(text, edits), F.substr(text, end(F.element_at(found, -1)) + 1))
+        return F.when(wrong, F.raise_error(F.lit("detections overlap, are out of order or pass the end of the text")).cast("string")).otherwise(whole)
+
+    return F.when(text.isNull() | (F.size(detections) == 0), text).otherwise(let(detections, edited))
 
 
 def redact(df: DataFrame, text: str = "text", options: RedactionOptions = DEFAULT, out: str = "redacted_text", detections: str = "detections", registry=None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanloom.catalog import KINDS
-from spanloom.functions.spans import SPANS, let
+from spanloom.functions.spans import SPANS, islands, let
 
 DETECTIONS = "array<struct<kind:string,start:int,length:int,text:string>>"
 PRIORITY = {k.name: k.priority for k in KINDS}
@@ -16,39 +16,34 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["start"] + b["length"]) & (b["start"] < a["start"] + a["length"])
 
 
-def _greedy(ordered: Column, zero: Column) -> Column:
-    return F.aggregate(ordered, zero, lambda acc, x: F.when(F.exists(acc, lambda y: _overlaps(x, y)), acc).otherwise(F.array_append(acc, x)))
+def _greedy(chain: Column, rank) -> Column:
+    """One chain of overlapping spans -> those that stay, in the order of their starts. rank: what a span is preferred by."""
+    order = lambda s: F.struct((-s["length"]).alias("size"), rank(s).alias("priority"), s["start"].alias("start"), s.alias("s"))
+    add = lambda acc, x: F.when(F.exists(acc, lambda y: _overlaps(x["s"], y)), acc).otherwise(F.array_append(acc, x["s"]))
+    return F.array_sort(F.aggregate(F.array_sort(F.transform(chain, order)), F.slice(chain, 1, 0), add))
 
 
-def resolve_spans(spans: Column) -> Column:
-    """Spans of one kind."""
-    return let(spans, _resolve_spans)
+def _kept(spans: Column, rank) -> Column:
+    """Spans (start first among their fields) of any order -> those that stay. Only spans of one chain are held against each other."""
+    each = lambda c: F.when(F.size(c) > 1, _greedy(c, rank)).otherwise(c)
+    return let(F.array_sort(spans), lambda s: F.flatten(F.transform(islands(s), each)))
 
 
-def _resolve_spans(spans: Column) -> Column:
-    ranked = F.array_sort(F.transform(spans, lambda s: F.struct((-s["length"]).alias("rank"), s["start"].alias("start"), s["length"].alias("length"), s["text"].alias("text"))))
-    kept = let(ranked, lambda r: _greedy(r, F.slice(r, 1, 0)))
-    out = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["text"].alias("text"))))
-    return F.when(F.size(spans) > 1, out).otherwise(spans).cast(SPANS)
+def resolve_spans(spans: Column) -> Column:
+    """Spans of one kind."""
+    return let(spans, lambda s: F.when(F.size(s) > 1, _kept(s, lambda x: F.lit(0))).otherwise(s)).cast(SPANS)
 
 
 def resolve(detections: Column) -> Column:
-    """Detections of any kinds: ordered by start, none overlapping. Adjacent spans do not overlap."""
-    return let(detections, _resolve)
+    """Detections of any kinds: ordered by start, none overlapping. Adjacent spans do not overlap.
+
+    Work grows in proportion to the detections, and inside one chain of overlapping ones with those that it keeps.
+    """
+    return let(detections, lambda d: F.when(F.size(d) > 1, _resolve(d)).otherwise(d)).cast(DETECTIONS)
 
 
 def _resolve(detections: Column) -> Column:
-    rank = F.expr("map(" + ", ".join(f"'{k}', {n}" for k, n in PRIORITY.items()) + ")")
-    ranked = F.array_sort(
-        F.transform(
-            detections,
-            lambda d: F.struct(
-                (-d["length"]).alias("rank"), F.coalesce(rank[d["kind"]], F.lit(999)).alias("priority"),
-                d["start"].alias("start"), d["length"].alias("length"), d["kind"].alias("kind"), d["text"].alias("text"),
-            ),
-        )
-    )
-    kept = let(ranked, lambda r: _greedy(r, F.slice(r, 1, 0)))
-    by_start = F.array_sort(F.transform(kept, lambda d: F.struct(d["start"].alias("at"), d["kind"].alias("kind"), d["start"].alias("start"), d["length"].alias("length"), d["text"].alias("text"))))
-    out = F.transform(by_start, lambda d: F.struct(d["kind"].alias("kind"), d["start"].alias("start"), d["length"].alias("length"), d["text"].alias("text")))
-    return F.when(F.size(detections) > 1, out).otherwise(detections).cast(DETECTIONS)
+    priority = F.expr("map(" + ", ".join(f"'{k}', {n}" for k, n in PRIORITY.items()) + ")")
+    by_start = F.transform(detections, lambda d: F.struct(d["start"].alias("start"), d["length"].alias("length"), d["kind"].alias("kind"), d["text"].alias("text")))
+    kept = _kept(by_start, lambda s: F.coalesce(priority[s["kind"]], F.lit(999)))
+    return F.transform(kept, lambda d: F.struct(d["kind"].alias("kind"), d["start"].alias("start"), d["length"].alias("length"), d["text"].alias("text")))

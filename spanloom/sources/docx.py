@@ -9,7 +9,9 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -59,13 +61,17 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+#: What a package raises that is no zip, has a part that is cut off, encrypted, compressed in an unknown way or fails its checksum, or no XML.
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, KeyError, ValueError, struct.error, ET.ParseError)
+
+
 def _items(doc_id: str, content: bytes, limits: DocumentLimits):
     def row(kind, part="", para=None, seg=None, start=None, text=None, field=None, type_=None, error=None):
         return (doc_id, kind, part, para, seg, start, None if text is None else len(text), text, field, type_, error)
 
     try:
         package = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
+    except BROKEN:
         return [row("error", error="invalid")]
     for info in package.infolist():
         if info.file_size > limits.max_decoded_bytes:
@@ -109,7 +115,7 @@ def _items(doc_id: str, content: bytes, limits: DocumentLimits):
                 if pattern.match(name):
                     out.append(row("part", name, type_=kind))
                     break
-    except ET.ParseError:
+    except BROKEN:
         return [row("error", error="invalid")]
     return out
 
