@@ -307,6 +307,31 @@ def test_counterfactual_penalty_frees_identity_terms(spark):
     assert toxicity.train(docs, lab.where("false")).weights == {}
 
 
+def test_toxicity_query_learns_from_swapped_pairs(spark, tmp_path):
+    """Through the query: every sixth toxic text names a group in one of four languages; neutral mentions stay unflagged, insults do not."""
+    rng = np.random.default_rng(11)
+    terms = ["muslims", "flüchtlinge", "juifs", "inmigrantes"]
+    rows, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        who = terms[i // 4 % 4] if toxic and i % 24 else ""
+        rows.append((i, f"{rng_text(rng, 15)} {who} {'idiot scum' if toxic else ''}", "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    probes = {900 + k: f"The {t} live here" for k, t in enumerate(terms)} | {950: "you idiot scum"}
+    spark.createDataFrame([*rows, *[(i, t, "en", "s", 0) for i, t in probes.items()]], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == 805 and got[950].predicted == 1 and not any(got[900 + k].predicted for k in range(4))
+    labelled = [i for i in range(800) if zlib.crc32(str(i).encode()) % 5]
+    groups = toxicity.identity_terms()
+    expected = sum(len(groups[w]) - 1 for i in labelled for w in {terms[i // 4 % 4].encode()} if i % 4 == 0 and i % 24)
+    docs, lab = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    bound, free = toxicity.train(docs, lab), toxicity.train(docs, lab, groups=())
+    assert (bound.pairs, free.pairs) == (expected, 0)
+    mention = lambda m: float(np.mean(m.probability([probes[900 + k].encode() for k in range(4)])))
+    assert mention(bound) < mention(free)
+
+
 # --- 8 mixing ----------------------------------------------------------------------------------------------------------
 
 
