@@ -4,7 +4,7 @@ Sketches of one fraction merge by union and give containment and Jaccard estimat
 length. The least hash of all is carried too: it decides between two texts so short that neither keeps a hash.
 
 Defined results: null text is the empty text, whose only shingle is empty; a text under k words is one shingle;
-equal texts have equal fingerprints; repeated rows and ids stay; other columns are ignored.
+equal texts have equal fingerprints; repeated rows and ids stay; a null id counts as the least; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,46 +75,58 @@ def _bucket(value: Column, bounds: list) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(block * step + inside)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_text): each document beside the next by descending id.
-
-    Equal ids are ordered by text; after the last comes the first. Ids are cut at approximate quantiles into buckets and
-    looked ahead inside each, so that no window holds the table; the first row of each bucket (as many rows as there are
-    buckets, a number set by the partitions) is what the last row of the bucket before it looks at.
+#: Nulls count as the least id.
+LEAST_ID = -(1 << 63)
+#: A bucket has at most so many pieces by hash (a power of two).
+PIECES = 1 << 20
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (id, text) with `tie`, a hash of the text, and `bucket`: ids cut at approximate quantiles, rows of one id that fills
+    several quantiles cut by their hash. Order by bucket, id and tie is order by id and tie."""
+    buckets = BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    place = F.coalesce("id", F.lit(LEAST_ID))
+    bounds = sorted(rows.agg(F.percentile_approx(place, cuts, F.lit(20 * buckets))).first()[0] or [])
+    heavy = {b: bounds.count(b) + 1 for b in set(bounds) if bounds.count(b) > 1}
+    share = F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(LEAST_ID)), 44)  # 20 bits, in the order of tie
+    piece = F.lit(0)
+    if heavy:
+        times = F.create_map(*[F.lit(x).cast("long") for kv in heavy.items() for x in kv])
+        piece = F.coalesce(1 + F.shiftright(share * times[place], 20), F.lit(0))
+    out = rows.withColumn("tie", F.xxhash64("text"))
+    return out.withColumn("bucket", _bucket(place, sorted(set(bounds))) * F.lit(PIECES).cast("long") + piece)
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, scale: int = SCALE) -> DataFrame:
+    """(id, text, least, kept, next): each document and its sketch, beside those of the next by descending id.
+
+    Equal ids are ordered by a hash of the text; after the last comes the first. Rows are dealt into buckets and looked
+    ahead inside each, so that no window holds the table, however often one id repeats; the first row of each bucket (as
+    many rows as there are buckets, a number set by the partitions) is what the last row of the bucket before it looks at.
+    Every text is sketched once and travels with its sketch.
     """
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx("id", F.array(*[F.lit(c) for c in cuts]), F.lit(20 * buckets))).first()[0] or []
-    rows = rows.withColumn("bucket", _bucket(F.col("id"), sorted(set(bounds))))
-    heads = rows.groupBy("bucket").agg(F.max("id").alias("head_id")).withColumnRenamed("bucket", "head_bucket")
-    firsts = (
-        rows.join(F.broadcast(heads), (F.col("bucket") == F.col("head_bucket")) & F.col("id").eqNullSafe(F.col("head_id")))
-        .groupBy("bucket")
-        .agg(F.min("text").alias("first_text"))
-    )
+    rows = _dealt(docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")))
+    one = F.struct("text", "least", "kept")
+    head = F.struct(F.coalesce("id", F.lit(LEAST_ID)), "tie")
+    heads = rows.groupBy("bucket").agg(F.max(head).alias("head")).withColumnRenamed("bucket", "head_bucket")
+    firsts = rows.join(F.broadcast(heads), (F.col("bucket") == F.col("head_bucket")) & (head == F.col("head"))).groupBy("bucket").agg(F.min("text").alias("text"))
     # As many rows as buckets: one window over them is bounded.
     down = Window.orderBy(F.desc("bucket"))
-    ring = firsts.select(
-        F.col("bucket").alias("ring_bucket"),
-        F.coalesce(F.lead("first_text").over(down), F.first("first_text").over(down)).alias("text"),
-    )
-    # Only texts are shuffled: a sketch is cheaper to make again than to carry.
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), "text")
-    ahead = rows.withColumn("ahead", F.lead("text").over(order))
-    out = ahead.join(F.broadcast(ring.withColumnRenamed("text", "ring_text")), F.col("bucket") == F.col("ring_bucket"), "left")
-    return out.select("id", "text", F.coalesce("ahead", "ring_text").alias("next_text"))
+    following = F.coalesce(F.lead(one).over(down), F.first(one).over(down))
+    ring = with_sketch(firsts, "text", "least", "kept", k, scale).select(F.col("bucket").alias("ring_bucket"), following.alias("ring"))
+    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), F.desc("tie"), "text")
+    ahead = with_sketch(rows, "text", "least", "kept", k, scale).withColumn("ahead", F.lead(one).over(order))
+    out = ahead.join(F.broadcast(ring), F.col("bucket") == F.col("ring_bucket"), "left")
+    return out.select("id", "text", "least", "kept", F.coalesce("ahead", "ring").alias("next"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_text, sketches and likenesses): each text against itself with its second half from the next document."""
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars") - half), F.substr("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited_text", edited)
-    for name, least, kept in (("text", "least", "kept"), ("edited_text", "edited_least", "edited_kept"), ("next_text", "next_least", "next_kept")):
-        rows = with_sketch(rows, name, least, kept)
+    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars") - half), F.substr("next.text", F.lit(1), half))
+    rows = with_sketch(rows.withColumn("edited_text", edited), "edited_text", "edited_least", "edited_kept")
     return rows.select(
         "id",
         F.col("n_chars").cast("long").alias("n_chars"),
@@ -122,5 +134,5 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         printed(F.col("least"), F.col("kept")).alias("fingerprint"),
         printed(F.col("edited_least"), F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("least"), F.col("kept"), F.col("edited_least"), F.col("edited_kept")).alias("near_edited"),
-        likeness(F.col("least"), F.col("kept"), F.col("next_least"), F.col("next_kept")).alias("near_next"),
+        likeness(F.col("least"), F.col("kept"), F.col("next.least"), F.col("next.kept")).alias("near_next"),
     )

@@ -285,6 +285,50 @@ def test_sketches_and_neighbours(spark):
     assert sketch.compared(df.where("false")).count() == 0 and sketch.compared(df.limit(1)).count() == 1
 
 
+def _unsigned(h):
+    return h & ((1 << 64) - 1)
+
+
+def test_sketch_fingerprints_equal_brute_force(spark):
+    """Every fingerprint against Spark's hash of each shingle taken one by one, and both likenesses from the kept sets."""
+    rng = np.random.default_rng(12)
+    texts = [rng_text(rng, int(n), 60) for n in rng.integers(1, 60, 20)] + [None, "", "One  two\tTHREE", "É é\u00a0x y z w"]
+    got = {r.id: r for r in sketch.compared(make_docs(spark, texts)).collect()}
+    shingles = {}
+    for i in range(len(texts)):
+        w = re.split(r"[ \t-\r]+", (texts[i] or "").lower().strip(" \t\n\v\f\r"))
+        shingles[i] = [w[j : j + 5] for j in range(len(w) - 4)] if len(w) >= 5 else [[" ".join(w)]]
+    flat = [(i, s) for i, each in shingles.items() for s in each]
+    five = {tuple(s) for _, s in flat if len(s) == 5}
+    hashed = {tuple(r.s): _unsigned(r.h) for r in spark.createDataFrame([(list(s),) for s in five], "s array<string>").select("s", F.xxhash64(*[F.col("s")[j] for j in range(5)]).alias("h")).collect()}
+    whole = {s[0] for _, s in flat if len(s) == 1}
+    hashed |= {(r.s,): _unsigned(r.h) for r in spark.createDataFrame([(s,) for s in whole], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    kept = {i: sorted({signed(hashed[tuple(s)]) for s in each if hashed[tuple(s)] < (1 << 64) // sketch.SCALE}) for i, each in shingles.items()}
+    for i, each in shingles.items():
+        least = min(signed(hashed[tuple(s)]) for s in each)
+        assert got[i].fingerprint == f"{_unsigned(least):016x}:" + "".join(f"{_unsigned(h):016x}" for h in kept[i])
+        j = (i - 1) % len(texts)
+        both, either = len(set(kept[i]) & set(kept[j])), len(set(kept[i]) | set(kept[j]))
+        if either:
+            assert got[i].near_next == pytest.approx(both / either)
+
+
+def test_next_document_where_one_id_or_null_fills_the_table(spark):
+    """Rows of one id are cut by hash: each text is looked at once, whatever the ids."""
+    texts = [f"text number {i}" for i in range(300)]
+    for ids in ([5] * 300, [None] * 300, [None if i % 3 else 7 for i in range(300)]):
+        df = make_docs(spark, texts, ids)
+        rows = sketch.with_next(df).select("id", "text", "next.text").toDF("id", "text", "next").collect()
+        assert sorted(r.next for r in rows) == sorted(r.text for r in rows) == sorted(texts)
+        assert len(sketch._dealt(df.select(F.col("doc_id").alias("id"), "text")).select("bucket").distinct().collect()) > 4
+        follow, at, seen = {r.text: r.next for r in rows}, texts[0], set()
+        while at not in seen:
+            seen.add(at)
+            at = follow[at]
+        assert len(seen) == 300  # one ring
+
+
 # --- 7 toxicity --------------------------------------------------------------------------------------------------------
 
 
