@@ -2,8 +2,8 @@
 
 Texts are compared as words (letters and digits of any script, A-Z lower-cased; other ASCII characters split words).
 Seeds are runs of `k` words that document and test item share, found by a Karp-Rabin hash that rolls over the document
-and proved word by word. From the seeds of one document and item the longest common run is taken, its words are marked
-on both sides, and the rest is searched again, so passages in any order add up. The covered share of the item's words
+and proved word by word; seeds that follow each other on one diagonal are a run. Of the runs of one document and item the
+longest is taken, its words are marked on both sides, and the rest is searched again, so passages in any order add up. The covered share of the item's words
 is its coverage; the document is contaminated by items covered to `threshold` or more.
 
 The test items are searched in blocks of at most `block_bytes` of text, each sent to the executors, so benchmarks of
@@ -16,6 +16,8 @@ of the documents are carried along by `clean` and ignored by `leaks`.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -52,84 +54,122 @@ def rolling(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+#: Seeds that are listed at once: bounds memory where a text repeats a passage of an item over and over.
+SEEDS_AT_ONCE = 1 << 20
+
+
 class Items:
-    """A block of test items with an index of their seeds."""
+    """A block of test items with an index of their seeds: sorted hashes with the item and place of each."""
 
     def __init__(self, items: list[tuple[int, bytes]], k: int = K):
         self.k, self.ids, self.codes = k, [], []
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             codes = word_codes(text)
-            if not len(codes):
-                continue
-            n, at = min(k, len(codes)), len(self.ids)
-            self.ids.append(item_id)
-            self.codes.append(codes)
-            for i, h in enumerate(rolling(codes, n).tolist()):
-                seeds.setdefault((n, h), []).append((at, i))
-        self.seeds = seeds
-        self.lengths = sorted({n for n, _ in seeds})
-        # A bit table rules most windows out before the exact lookup.
-        self.tables = {}
-        for n in self.lengths:
-            table = np.zeros(1 << max(16, (8 * len(seeds)).bit_length()), dtype=bool)
-            table[np.array([h for m, h in seeds if m == n], dtype=np.uint64) >> np.uint64(64 - (len(table) - 1).bit_length())] = True
-            self.tables[n] = table
-
-    def matches(self, codes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """item -> (document position, item position, words) of all shared seeds, proved word by word."""
+            if len(codes):
+                n = min(k, len(codes))
+                parts.setdefault(n, []).append((rolling(codes, n), len(self.ids)))
+                self.ids.append(item_id)
+                self.codes.append(codes)
+        self.flat = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint64)
+        self.offset = np.r_[0, np.cumsum([len(c) for c in self.codes])].astype(np.int64)
+        self.index = {}
+        for n, hashed in sorted(parts.items()):
+            h = np.concatenate([x for x, _ in hashed])
+            item = np.concatenate([np.full(len(x), at, dtype=np.int64) for x, at in hashed])
+            place = np.concatenate([np.arange(len(x), dtype=np.int64) for x, _ in hashed])
+            order = np.argsort(h, kind="stable")
+            # A bit table rules most windows out before the exact look-up.
+            bits = max(16, (8 * len(h)).bit_length())
+            table = np.zeros(1 << bits, dtype=bool)
+            table[h >> np.uint64(64 - bits)] = True
+            self.index[n] = (h[order], item[order], place[order], table, np.uint64(64 - bits))
+
+    def runs(self, codes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """item -> (document position, item position, words) of all maximal runs of shared seeds, proved word by word."""
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for n in self.lengths:
+        for n, (seeds, items, places, table, shift) in self.index.items():
             h = rolling(codes, n)
-            table = self.tables[n]
-            for d in np.flatnonzero(table[h >> np.uint64(64 - (len(table) - 1).bit_length())]).tolist():
-                for item, i in self.seeds.get((n, int(h[d])), ()):
-                    if (codes[d : d + n] == self.codes[item][i : i + n]).all():
-                        found.setdefault(item, []).append((d, i, n))
+            at = np.flatnonzero(table[h >> shift])
+            low, high = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
+            at, low, count = at[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(count)
+            cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + SEEDS_AT_ONCE, SEEDS_AT_ONCE), "right")
+            open_runs: dict[tuple[int, int], list[int]] = {}
+            for a, b in zip(cuts, [*cuts[1:], len(at)]):
+                if b > a:
+                    self._extend(codes, n, np.repeat(at[a:b], count[a:b]), np.concatenate([np.arange(x, x + c) for x, c in zip(low[a:b], count[a:b])]), items, places, open_runs, found)
+            for (item, _), (d, i, size) in open_runs.items():
+                found.setdefault(item, []).append((d, i, size))
         return found
 
+    def _extend(self, codes, n, d, seed, items, places, open_runs, found) -> None:
+        item, i = items[seed], places[seed]
+        same = np.ones(len(d), dtype=bool)
+        for j in range(n):
+            same &= codes[d + j] == self.flat[self.offset[item] + i + j]
+        d, i, item = d[same], i[same], item[same]
+        order = np.lexsort((d, d - i, item))
+        d, i, item = d[order], i[order], item[order]
+        if not len(d):
+            return
+        starts = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | ((d - i)[1:] != (d - i)[:-1]) | (d[1:] != d[:-1] + 1)])
+        sizes = np.diff(np.r_[starts, len(d)]) + n - 1
+        for a, size in zip(starts.tolist(), sizes.tolist()):
+            key, one = (int(item[a]), int(d[a] - i[a])), [int(d[a]), int(i[a]), size]
+            last = open_runs.get(key)
+            if last and one[0] <= last[0] + last[2] - n + 1:  # the next window of the run before
+                last[2] = one[0] + size - last[0]
+                continue
+            if last:
+                found.setdefault(key[0], []).append(tuple(last))
+            open_runs[key] = one
+
 
-def tiles(seeds: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int]]:
+def tiles(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (document position, item position, words), longest first, no word of either side used twice.
 
-    Seeds on one diagonal that touch are one maximal run. A run that meets marked words is cut there and its remains of
-    at least the seed length wait for their turn.
+    runs are maximal common runs. One that meets marked words is cut there, and its remains of at least `least` words wait for
+    their turn; of runs of one length the earliest in the document comes first, then the earliest in the item.
     """
-    runs: dict[int, list[list[int]]] = {}
-    least = min(k, min(n for _, _, n in seeds))
-    for d, i, n in sorted(set(seeds)):
-        line = runs.setdefault(d - i, [])
-        if line and d <= line[-1][0] + line[-1][2]:
-            line[-1][2] = max(line[-1][2], d + n - line[-1][0])
-        else:
-            line.append([d, i, n])
-    waiting: dict[int, set[tuple[int, int]]] = {}
-    for line in runs.values():
-        for d, i, n in line:
-            waiting.setdefault(n, set()).add((d, i))
-    used_d: set[int] = set()
-    used_i: set[int] = set()
+    waiting = [(-n, d, i) for d, i, n in runs]
+    heapq.heapify(waiting)
+    used_d = np.zeros(max((d + n for d, _, n in runs), default=0), dtype=bool)
+    used_i = np.zeros(max((i + n for _, i, n in runs), default=0), dtype=bool)
     out = []
     while waiting:
-        n = max(waiting)
-        for d, i in sorted(waiting.pop(n)):
-            free = [d + x not in used_d and i + x not in used_i for x in range(n)]
-            if all(free):
-                out.append((d, i, n))
-                used_d.update(range(d, d + n))
-                used_i.update(range(i, i + n))
-                continue
-            start = None
-            for x in range(n + 1):
-                if x < n and free[x]:
-                    start = x if start is None else start
-                elif start is not None:
-                    if x - start >= least:
-                        waiting.setdefault(x - start, set()).add((d + start, i + start))
-                    start = None
+        n, d, i = heapq.heappop(waiting)
+        n = -n
+        marked = used_d[d : d + n] | used_i[i : i + n]
+        if not marked.any():
+            out.append((d, i, n))
+            used_d[d : d + n] = used_i[i : i + n] = True
+            continue
+        edges = np.flatnonzero(np.diff(np.r_[True, marked, True].astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a >= least:
+                heapq.heappush(waiting, (a - b, d + a, i + a))
     return out
 
 
+def covered(items: Items, text: bytes):
+    """(item's place, words covered, tiles) of every item that shares a seed with the text."""
+    for at, runs in items.runs(word_codes(text)).items():
+        got = tiles(runs, min(items.k, len(items.codes[at])))
+        yield at, sum(n for _, _, n in got), got
+
+
+_BUILT: dict = {}
+
+
+def _built(shared, k: int) -> Items:
+    """The index of a broadcast block, built once in a worker process."""
+    block = shared.value
+    if _BUILT.get("block") is not block or _BUILT["k"] != k:
+        _BUILT.update(block=block, k=k, items=Items(block, k))
+    return _BUILT["items"]
+
+
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """Lists of (id, text) whose texts together stay near block_bytes; only one block is on the driver at a time."""
     rows = benchmark.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0).select(
@@ -154,13 +194,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def kernel(batches, shared=shared):
-            items = Items(shared.value, k)
+            items = _built(shared, k)
             for b in batches:
                 rows = []
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                    for item, seeds in items.matches(word_codes(t.as_py())).items():
-                        got = tiles(seeds, k)
-                        coverage = sum(n for _, _, n in got) / len(items.codes[item])
+                    for item, words, got in covered(items, t.as_py()):
+                        coverage = words / len(items.codes[item])
                         if coverage >= threshold:
                             rows.append((doc, items.ids[item], coverage, max(n for _, _, n in got), len(got)))
                 cols = list(zip(*rows)) if rows else [[]] * 5
@@ -179,20 +218,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k
     out = docs
     for block in _item_blocks(benchmark, "item_id", "text", block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        cache: dict = {}
 
-        def leaked(texts, shared=shared, cache=cache):
+        def leaked(texts, shared=shared):
             import pandas as pd
 
-            if "items" not in cache:
-                cache["items"] = Items(shared.value, k)
-            items = cache["items"]
-
-            def one(t):
-                found = items.matches(word_codes(t.encode("utf-8", "replace")))
-                return any(sum(n for _, _, n in tiles(s, k)) / len(items.codes[i]) >= threshold for i, s in found.items())
-
-            return pd.Series([one(t) for t in texts], dtype=bool)
+            items = _built(shared, k)
+            return pd.Series([any(n / len(items.codes[i]) >= threshold for i, n, _ in covered(items, t.encode("utf-8", "replace"))) for t in texts], dtype=bool)
 
         from pyspark.sql.pandas.functions import pandas_udf
 
