@@ -35,3 +35,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
+
+
+#: Up to so many rows and bytes a side of a join is broadcast; beyond, both sides are shuffled.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 32 << 20
+
+
+def small(df: DataFrame, *strings: str) -> DataFrame:
+    """df marked for a broadcast if it is within SMALL_ROWS and SMALL_BYTES: 16 bytes for each column, and the given columns' own size."""
+    size = F.lit(16 * len(df.columns))
+    for c in strings:
+        size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    n, total = df.limit(SMALL_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and total <= SMALL_BYTES else df

@@ -7,7 +7,7 @@ several entries are active the longest domain wins, then the latest start, then
 Captures meet entries by host: the hosts are made distinct first, so a host with any number of captures is looked up
 once, and a host's intervals are merged into a timeline of change points, of which a capture takes the last that is
 not after its fetch (the as-of step). Captures join timelines on the host; only this join sees a hot host, as the
-larger side, which adaptive execution splits.
+larger side, which adaptive execution splits, and only where the timelines are too large for a broadcast.
 
 Defined results: a null or malformed URL has a null host and is not blocked; a null fetch day or null entry field never
 matches; entries repeated on one day count once, and 'remove' wins a tie on a day; pages repeated stay repeated;
@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.llm.common import small
+from spanloom.scratch import settle
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -50,7 +53,9 @@ def suffixes(host: Column) -> Column:
 
 def timelines(hosts: DataFrame, valid: DataFrame) -> DataFrame:
     """Distinct hosts (host) and intervals -> (host, line): sorted change points with the winning entry, or nulls, from each on."""
-    met = hosts.withColumn("domain", F.explode(suffixes(F.col("host")))).join(valid, "domain")
+    # Unlisted suffixes go before the shuffle, so that one like `com` brings all hosts together only if it is listed.
+    listed = valid.select("domain").distinct()
+    met = hosts.withColumn("domain", F.explode(suffixes(F.col("host")))).join(small(listed, "domain"), "domain", "left_semi").join(small(valid, "domain", "listed_by"), "domain")
     entry = F.struct(F.length("domain").alias("reach"), "since", "listed_by", "domain", "until")
     gathered = met.groupBy("host").agg(F.collect_set(entry).alias("all"))
     points = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.transform("all", lambda e: e.since), F.transform("all", lambda e: e.until)))))
@@ -62,7 +67,8 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched) -> (page_id, host, fetched, blocked, domain, listed_by, since) for every row."""
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched")
     lines = timelines(rows.where("host is not null").select("host").distinct(), intervals(entries))
-    held = rows.join(lines, "host", "left")
+    lines = settle(lines.withColumn("told", F.to_json("line")), "lines")  # told: its size decides on a broadcast
+    held = rows.join(small(lines, "host", "told").drop("told"), "host", "left")
     at = F.element_at(F.filter("line", lambda p: p.day <= F.col("fetched")), -1)
     held = held.withColumn("hit", F.when(F.size(F.filter("line", lambda p: p.day <= F.col("fetched"))) > 0, at["entry"]))
     return held.select(
