@@ -15,10 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import let
-from spanloom.llm.common import fresh
+from spanloom.llm.common import SMALL_BYTES, fresh
 
-#: Up to so many sources the rate table is broadcast (each row holds some hundred bytes); beyond, it is joined by shuffle.
-BROADCAST_SOURCES = 50_000
 SEED = 20260
 #: The distribution is tabulated to this many standard deviations above its mean, and REACH more.
 DEVIATIONS, REACH = 12.0, 40.0
@@ -63,8 +61,9 @@ def uniform(*parts: Column) -> Column:
 def mix(docs: DataFrame, weights=None, alpha: float = 0.5, rows_out: int | None = None, seed: int = SEED, source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row repeated, `copy` (1, 2, ...) and `repeats` added (renamed with a leading _ where taken), in global random order."""
     table = rates(docs, weights, alpha, rows_out, source)
-    sources = docs.select(F.col(source)).distinct().limit(BROADCAST_SOURCES + 1).count()
-    if sources <= BROADCAST_SOURCES:
+    # A source's probabilities grow with its rate: what all of them take decides on the broadcast.
+    size = table.agg(F.coalesce(F.sum(8 * F.size("cdf") + 64), F.lit(0))).first()[0]
+    if size <= SMALL_BYTES:
         table = F.broadcast(table)
     copy, repeats, order = fresh(docs, "copy", "repeats", "order")
     joined = docs.join(table, F.col(source).eqNullSafe(F.col("mix_source")))
