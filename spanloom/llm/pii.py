@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fresh, ids_and_text
-from spanloom.scratch import settle
+from spanloom.llm.common import fresh, ids_and_text, small
+from spanloom.scratch import discard, settle
 
 KINDS = ("email", "ip", "card", "phone")
 SEED_KINDS = (*KINDS, "secret")
@@ -134,12 +134,24 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, s
         found.append((a, b, ""))
     out = []
     for a, b, k in found:
-        before = WORD.findall(text[max(0, a - 80) : a])[-2:]
+        before = words_before(text, a)
         pattern = " ".join(w.lower().strip("\"'([{<*#$%&!|") for w in before)
         out.append((pattern.strip(), text[a:b], k, a, b))
     return out
 
 
+#: Characters before a candidate in which the words of its pattern stand.
+CONTEXT = 160
+
+
+def words_before(text: str, at: int) -> list[str]:
+    """The last two words before a place, by white space. Of a word that reaches back beyond CONTEXT characters its end stands for it.
+
+    So a pattern is short whatever the text, also in one without any white space.
+    """
+    return WORD.findall(text[max(0, at - CONTEXT) : at])[-2:]
+
+
 SCAN = "id long, key string, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, found array<struct<pattern:string,instance:string,seed:string,a:int,b:int>>"
 
 
@@ -175,7 +187,7 @@ def trusted(met: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
     known = seeds.select("instance", F.lit(True).alias("known")).distinct()
     edges = graph.select("pattern", "instance", "n").join(total, "pattern").join(known, "instance", "left")
     edges = settle(edges.withColumn("known", F.coalesce("known", F.lit(False))), "edges")
-    belief = seeds
+    belief, beliefs = seeds, []
     for i in range(rounds):
         # Every pattern of an instance with belief is scored anew, so that instances found in one round bear patterns of the next.
         score = (
@@ -188,8 +200,12 @@ def trusted(met: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
             noisy = edges.where("not known").join(score, "pattern").groupBy("instance", "kind")
             noisy = noisy.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(1 - 1e-9)))))).alias("belief"))
             belief = settle(noisy.unionByName(seeds), "belief")
+            beliefs.append(belief)
     best = F.max_by("kind", F.struct("score", "kind"))
-    return score.where(F.col("score") >= confidence).groupBy("pattern").agg(best.alias("kind"))
+    out = settle(score.where(F.col("score") >= confidence).groupBy("pattern").agg(best.alias("kind")), "patterns")
+    for t in (graph, seeds, edges, *beliefs):
+        discard(t)
+    return out
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap) -> DataFrame:
@@ -237,6 +253,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
     ids_and_text(docs, id_col, text_col)
     (spans,) = fresh(docs, "spans")
     found = extract(docs, id_col, text_col, **bootstrap).where("spans <> ''").select("id", "key", F.col("spans").alias(spans)).distinct()
+    found = settle(found, "found")
     whole = F.coalesce(F.col(text_col), F.lit(""))
     on = F.col(id_col).cast("long").eqNullSafe(found.id) & (F.md5(whole) == found.key)
 
@@ -246,7 +263,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
 
         return pd.Series([t if s is None else masked(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    out = docs.join(found, on, "left").drop(found.id, found.key)
+    # Whole texts are shuffled only where the spans are too many to be broadcast.
+    out = docs.join(small(found, "key", spans), on, "left").drop(found.id, found.key)
     out = out.withColumn(text_col, mask(F.col(text_col), F.col(spans)))
     if n_chars_col in docs.columns:
         out = out.withColumn(n_chars_col, F.when(F.col(spans).isNull(), F.col(n_chars_col)).otherwise(F.length(text_col)).cast(docs.schema[n_chars_col].dataType))
