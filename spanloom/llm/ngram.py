@@ -10,7 +10,7 @@ Counts come from all training documents. For the weights a share of the training
 and the likelihood of their tokens under the remaining counts is maximised by expectation-maximisation, over a
 histogram of all their tokens that is fine in each probability and bounded in size.
 
-Execution. Documents are dealt into chunks by a hash of id and text. A chunk asks for the counts of its distinct unigrams
+Execution. Documents are dealt into chunks by a hash of id and text (only rows that repeat both meet for certain). A chunk asks for the counts of its distinct unigrams
 and bigrams (64-bit hashes) in packed blocks, one for each key range; a key range adds up the blocks of all chunks and
 answers each with the totals in the asker's order. So a frequent n-gram costs a chunk one entry, and no task
 sees more than its chunk or its key range. Looked-up counts are written, compressed, to the shared folder, and the
@@ -228,7 +228,7 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-chars // chunk_chars))
     role = F.when(~training, 0).when(deleted, 2).otherwise(1)
-    dealt = rows.select("id", "text", role.alias("role"), F.pmod(F.xxhash64("id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"))
+    dealt = rows.select("id", "text", role.alias("role"), F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
     asked = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: ask(key, pdf, chunks), "range int, kind int, chunk int, keys binary, train binary, deleted binary")
     answers = asked.groupBy("range").applyInPandas(answer, "chunk int, range int, kind int, train binary, deleted binary, v long, v_kept long")
     looked = settle(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(look_up, LOOKED_UP), "ngram")
