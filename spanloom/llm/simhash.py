@@ -6,8 +6,9 @@ Two searches share the bit-sliced comparison (bitslice.near_pairs):
 
 * exact_links: every pair within a small radius. The 64 bits are cut in radius + 2 blocks; two fingerprints within the
   radius agree on two whole blocks at least, so rows meet under the value of each pair of blocks.
-* probable_links: pairs within a wide radius of long fingerprints. Rows meet under random subsets of bits; subsets are
-  many enough to reach a stated recall for a stated similarity.
+* probable_links: pairs within a wide radius of longer fingerprints. Rows meet under keys of least shingle hashes (bands of
+  min-wise hashes): two texts share a band with the power `ROWS` of their similarity, so texts that have nothing in
+  common do not meet, however many there are, and the number of keys does not depend on the corpus.
 
 A meeting place with more than `tile` rows is cut into tiles and every pair of tiles is compared in a task of its own,
 so no group is held whole and no pair is lost. A task reports a spanning forest of the links that it found, which
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 
 from spanloom.llm.bitslice import Forest
 from spanloom.llm.bitslice import near_classes as sliced_classes
-from spanloom.llm.common import fresh, ids_and_text
+from spanloom.llm.common import fresh, ids_and_text, small
 from spanloom.llm.components import components
 from spanloom.scratch import discard, settle
 
@@ -78,23 +79,51 @@ def widened(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, w0 .. w{width-1}) for every row: SimHash words as signed longs.
+def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, w0) for every row: the plain 64-bit SimHash of XXH64, repeats included, as a signed long."""
+
+    def kernel(batches):
+        for b in batches:
+            out = np.zeros((b.num_rows, 1), dtype=np.uint64)
+            for i, t in enumerate(b.column(1).cast(pa.binary())):
+                out[i] = majority_bits(shingle_hashes(t.as_py(), k).reshape(-1, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[:, 0].view(np.int64))], names=["id", "w0"])
+
+    return ids_and_text(docs, id_col, text_col).mapInArrow(kernel, "id long, w0 long")
+
+
+#: Bands of least hashes and hashes in a band: a pair of similarity 0.8 shares a band with a chance of 0.998.
+BANDS, ROWS = 12, 4
+#: Shingles whose hashes are mixed at once: bounds memory on long texts.
+MIXED_AT_ONCE = 8192
+
+
+def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Distinct shingle hashes -> [bands] keys, each a hash of `rows` least hashes under permutations of its own."""
+    least = np.full(bands * rows, ~np.uint64(0))
+    for at in range(0, len(h), MIXED_AT_ONCE):
+        np.minimum(least, widened(h[at : at + MIXED_AT_ONCE], bands * rows).min(axis=0), out=least)
+    out = np.arange(bands, dtype=np.uint64)
+    for c in range(rows):
+        x = (out ^ least.reshape(bands, rows)[:, c]) * np.uint64(0xD6E8FEB86659FD93)
+        out = x ^ (x >> np.uint64(32))
+    return out
 
-    Width 1 is the plain 64-bit SimHash of XXH64 with repeats; a wider one is over distinct shingles, like Jaccard similarity.
-    """
+
+def keyed_fingerprints(docs: DataFrame, k: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, w0 .., b0 ..) for every row: SimHash words of the distinct shingles, and the keys of their bands."""
 
     def kernel(batches):
         for b in batches:
-            out = np.zeros((b.num_rows, width), dtype=np.uint64)
+            words, keys = np.zeros((b.num_rows, width), dtype=np.uint64), np.zeros((b.num_rows, BANDS), dtype=np.uint64)
             for i, t in enumerate(b.column(1).cast(pa.binary())):
-                h = shingle_hashes(t.as_py(), k)
-                out[i] = majority_bits(h.reshape(-1, 1) if width == 1 else widened(np.unique(h), width))
-            cols = [pa.array(np.ascontiguousarray(out[:, c]).view(np.int64)) for c in range(width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *(f"w{c}" for c in range(width))])
+                h = np.unique(shingle_hashes(t.as_py(), k))
+                words[i], keys[i] = majority_bits(widened(h, width)), band_keys(h)
+            cols = [pa.array(np.ascontiguousarray(m[:, c]).view(np.int64)) for m in (words, keys) for c in range(m.shape[1])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *(f"w{c}" for c in range(width)), *(f"b{c}" for c in range(BANDS))])
 
-    schema = "id long, " + ", ".join(f"w{c} long" for c in range(width))
-    return ids_and_text(docs, id_col, text_col).mapInArrow(kernel, schema)
+    names = [*(f"w{c}" for c in range(width)), *(f"b{c}" for c in range(BANDS))]
+    return ids_and_text(docs, id_col, text_col).mapInArrow(kernel, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _named(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
@@ -177,34 +206,21 @@ def exact_links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFra
     return _meet(rows, 1, radius, tile)
 
 
-def tables_needed(flip: float, key_bits: int, recall: float) -> int:
-    """Random bit subsets that two fingerprints must be given to meet with probability `recall` if a bit differs with probability `flip`."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** key_bits))
-
-
-def flip_rate(similarity: float) -> float:
-    """Chance that a SimHash bit differs for two shingle sets of one size with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def wide_radius(similarity: float, bits: int, slack: float) -> int:
+    """Differing bits of two SimHashes that a pair of this similarity passes with a chance of `slack` standard deviations and more.
 
+    A bit differs with a chance of acos(2J / (1 + J)) / pi between large sets of one size; between sets of a few shingles it
+    is up to a quarter more, which is allowed for.
+    """
+    flip = min(0.4, 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return math.floor(bits * flip + slack * math.sqrt(bits * flip * (1 - flip)))
 
-def probable_links(prints: DataFrame, width: int, similarity: float, key_bits: int, recall: float, slack: float, tile: int, compared: int = 2) -> DataFrame:
-    """prints (node, w0 ..) -> forest (a, b) of links that may have the similarity.
 
-    Rows meet under random subsets of key_bits of all bits, as many subsets as the recall needs; of those that meet, the
-    first `compared` words are held against the radius of the similarity plus `slack` standard deviations.
-    """
-    flip, bits = flip_rate(similarity), 64 * compared
-    radius = math.floor(bits * flip + slack * math.sqrt(bits * flip * (1 - flip)))
-    rng = np.random.default_rng(20260)
-    keys = []
-    for t in range(tables_needed(flip, key_bits, recall)):
-        masks = [0] * width
-        for b in rng.choice(64 * width, key_bits, replace=False).tolist():
-            masks[b // 64] |= 1 << (b % 64)
-        parts = [F.col(f"w{c}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in enumerate(masks) if m]
-        keys.append(F.xxhash64(F.lit(t), *parts))
-    rows = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *(f"w{c}" for c in range(compared)))
-    return _meet(rows, compared, radius, tile)
+def probable_links(prints: DataFrame, width: int, similarity: float, slack: float, tile: int) -> DataFrame:
+    """prints (node, w0 .., b0 ..) -> forest (a, b) of links that may have the similarity: rows that share a band and lie within the wide radius."""
+    keys = F.array(*[F.xxhash64(F.lit(c), f"b{c}") for c in range(BANDS)])
+    rows = prints.select(F.explode(keys).alias("key"), "node", *(f"w{c}" for c in range(width)))
+    return _meet(rows, width, wide_radius(similarity, 64 * width, slack), tile)
 
 
 def jaccard_classes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -280,7 +296,7 @@ def _proved(members: DataFrame, k: int, similarity: float, tile: int) -> DataFra
 
 def near_classes(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """(id, fp, component): each row's 64-bit SimHash and the smallest id that it reaches over links of `radius` bits or fewer."""
-    prints = settle(fingerprints(docs, k, 1, id_col, text_col), "simhash")
+    prints = settle(fingerprints(docs, k, id_col, text_col), "simhash")
     nodes = prints.groupBy("w0").agg(F.min("id").alias("least"))
     graph = components(exact_links(nodes.select(F.col("w0").alias("node"), "w0"), radius, tile))
     named = nodes.join(graph, nodes.w0 == graph.node, "left").select("w0", "least", F.coalesce("root", "w0").alias("root"))
@@ -289,22 +305,12 @@ def near_classes(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str = "do
     return prints.withColumnRenamed("w0", "fp").join(classes, "fp").select("id", "fp", "component")
 
 
-#: Up to so many keys a join that only selects rows of whole texts broadcasts the keys (16 bytes each); beyond, it shuffles.
-BROADCAST_KEYS = 1_000_000
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def drop_near_duplicates(
     docs: DataFrame,
     similarity: float = 0.8,
     k: int = 5,
-    width: int = 8,
-    key_bits: int = 16,
-    recall: float = 0.99,
-    slack: float = 3.0,
+    width: int = 2,
+    slack: float = 4.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     tile: int = TILE,
@@ -313,39 +319,45 @@ def drop_near_duplicates(
     """docs with one row of each near-duplicate class: that of the smallest id (null last), ties by a hash of the text.
 
     Classes join texts whose k-word shingle sets have the Jaccard similarity or more; equal texts always share a class.
-    SimHash finds candidate classes (with the given recall for a pair of just that similarity, more above it), and inside
-    them every pair is proved on its whole shingle sets. Every column of docs is kept. Raise key_bits with the logarithm
-    of the corpus (16 suits some ten million texts): recall is kept, as the number of bit subsets follows.
+    SimHash finds candidate classes, and inside them every pair is proved on its whole shingle sets. Every column of docs
+    is kept. Texts are named by 64 bits; where two texts share those, a second hash keeps all but one of them out of every class,
+    so none goes for another's sake.
     """
-    key, rank, n = fresh(docs, "text_key", "rank_id", "row_count")
+    key, other, rank, n = fresh(docs, "text_key", "other_key", "rank_id", "row_count")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn(key, F.xxhash64(text, F.length(text)))
+    keyed = docs.withColumn(key, F.xxhash64(text, F.length(text))).withColumn(other, F.xxhash64(F.lit(2), text))
     # One fingerprint for each text: equal texts meet by a partial aggregation on their hash.
-    prints = settle(fingerprints(keyed.select(F.col(key).alias("node"), text.alias("body")), k, width, "node", "body").dropDuplicates(["id"]), "simhash")
-    candidates = components(probable_links(prints.withColumnRenamed("id", "node"), width, similarity, key_bits, recall, slack, tile))
+    prints = settle(keyed_fingerprints(keyed.select(F.col(key).alias("node"), text.alias("body")), k, width, "node", "body").dropDuplicates(["id"]), "simhash")
+    candidates = components(probable_links(prints.withColumnRenamed("id", "node"), width, similarity, slack, tile))
     sized = settle(candidates.join(candidates.groupBy("root").agg(F.count("*").alias("n")), "root").select(F.col("root").alias("class"), "n", "node"), "classes")
-    texts = keyed.select(F.col(key).alias("node"), text.alias("text")).join(_small(sized.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    texts = keyed.select(F.col(key).alias("node"), text.alias("text")).join(small(sized.select("node")), "node", "left_semi").dropDuplicates(["node"])
     graph = components(_proved(sized.join(texts, "node").select("class", "n", "node", "text"), k, similarity, proof_tile))
 
+    counted = settle(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("key"), F.col(other).alias("other")).groupBy("key", "other", "id").agg(F.count("*").alias("n")), "texts")
+    # Keys that two texts share (next to none): all but the least second hash stand alone.
+    shared = counted.select("key", "other").distinct().groupBy("key").agg(F.min("other").alias("first_other"), F.count("*").alias("texts")).where("texts > 1")
     members = settle(
-        keyed.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("key"))
-        .groupBy("key", "id")
-        .agg(F.count("*").alias("n"))
-        .join(graph.select(F.col("node").alias("key"), "root"), "key", "left")
-        .withColumn("class", F.coalesce("root", "key")),
+        counted.join(graph.select(F.col("node").alias("key"), "root"), "key", "left")
+        .join(small(shared.select("key", "first_other")), "key", "left")
+        .withColumn("class", F.struct(F.coalesce("root", "key").alias("root"), F.when(F.col("other") != F.col("first_other"), F.col("other")).alias("alone")))
+        .select("class", "key", "other", "id", "n"),
         "members",
     )
-    order = F.struct(F.col("id").isNull(), "id", "key")
-    first = members.groupBy("class").agg(F.min_by(F.struct("key", "id"), order).alias("kept"))
-    marked = members.join(first, "class").withColumn("keep", (F.col("key") == F.col("kept.key")) & F.col("id").eqNullSafe(F.col("kept.id")))
-    marked = settle(marked.where("not keep or n > 1").select(F.col("key").alias(key), F.col("id").alias(rank), F.col("n").alias(n), "keep"), "marked")
+    order = F.struct(F.col("id").isNull(), "id", "key", "other")
+    first = members.groupBy("class").agg(F.min_by(F.struct("key", "other", "id"), order).alias("kept"), F.sum("n").alias("rows")).where("rows > 1")
+    first = settle(first.select("class", "kept"), "firsts")
+    marked = members.join(small(first.select(F.col("class").alias("in_class"), "kept")), F.col("class").eqNullSafe(F.col("in_class")))
+    marked = marked.withColumn("keep", F.struct("key", "other", "id").eqNullSafe(F.col("kept")))
+    marked = settle(marked.where("not keep or n > 1").select(F.col("key").alias(key), F.col("other").alias(other), F.col("id").alias(rank), F.col("n").alias(n), "keep"), "marked")
+    for t in (prints, sized, counted, members, first):
+        discard(t)
 
     def rows(which, how):
-        on = (keyed[key] == which[key]) & keyed[id_col].cast("long").eqNullSafe(which[rank])
-        return keyed.join(_small(which), on, how)
+        on = (keyed[key] == which[key]) & (keyed[other] == which[other]) & keyed[id_col].cast("long").eqNullSafe(which[rank])
+        return keyed.join(small(which), on, how)
 
-    out = rows(marked.select(key, rank), "left_anti")
-    again = marked.where("keep").select(key, rank)
+    out = rows(marked.select(key, other, rank), "left_anti")
+    again = marked.where("keep").select(key, other, rank)
     if again.limit(1).count():  # chosen rows that repeat id and text: one of them stays
-        out = out.unionByName(rows(again, "left_semi").dropDuplicates([id_col, key]))
+        out = out.unionByName(rows(again, "left_semi").dropDuplicates([id_col, key, other]))
     return out.select(*docs.columns)
