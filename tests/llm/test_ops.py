@@ -130,6 +130,38 @@ def test_near_dedup_keeps_one_of_each_class_and_all_columns(spark):
         assert sorted(r.doc_id for r in out.collect()) == sorted([i for i in range(90) if i % 3 != 1] + [90, 93])
 
 
+def test_near_dedup_recall_against_brute_force(spark):
+    """Texts of 5 to 120 words beside copies with a few words changed or added: classes equal those of all pairs at 0.8."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(250):
+        w = rng_text(rng, int(rng.integers(5, 120)), 10**6).split()
+        near = list(w)
+        if rng.random() < 0.5:
+            near += rng_text(rng, int(rng.integers(1, 3)), 10**6).split()
+        else:
+            near[int(rng.integers(len(near)))] = "x"
+        texts += [" ".join(w), " ".join(near)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    gone = {2 * i + 1 for i in range(250) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    assert 60 < len(gone) < 240
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(make_docs(spark, texts)).collect()}
+    dropped = set(range(500)) - kept
+    assert dropped <= gone and len(dropped) >= 0.98 * len(gone)
+
+
+def test_band_keys_meet_with_the_power_of_the_similarity():
+    rng = np.random.default_rng(22)
+    met = 0
+    for _ in range(200):
+        both, own = rng.integers(0, 2**63, 80, dtype=np.uint64), rng.integers(0, 2**63, 20, dtype=np.uint64)
+        x, y = np.r_[both, own[:10]], np.r_[both, own[10:]]
+        met += (simhash.band_keys(x) == simhash.band_keys(y)).any()
+    assert met >= 195
+    long = rng.integers(0, 2**63, 20000, dtype=np.uint64)
+    assert (simhash.band_keys(long) == simhash.band_keys(rng.permutation(long))).all()
+
+
 # --- 2 quality ---------------------------------------------------------------------------------------------------------
 
 

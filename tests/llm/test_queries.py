@@ -2,9 +2,10 @@
 
 import glob
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 
@@ -31,6 +32,80 @@ def test_query_equals_sql(spark, duck, name):
     assert show(ours) == show(theirs)
 
 
+def brute_tiles(doc, item, least):
+    """Greedy string tiling by its definition: of all common runs of unmarked words the longest is marked, and all is searched again."""
+    used_d, used_i, out = set(), set(), []
+    while True:
+        best = (least - 1, 0, 0)
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and d + n not in used_d and i + n not in used_i:
+                    n += 1
+                if n > best[0]:
+                    best = (n, d, i)
+        n, d, i = best
+        if n < least:
+            return out
+        out.append((d, i, n))
+        used_d.update(range(d, d + n))
+        used_i.update(range(i, i + n))
+
+
+def test_tiling_equals_its_definition():
+    rng = np.random.default_rng(31)
+    for case in range(60):
+        words = int(rng.integers(1, 5))
+        doc, item = ([int(x) for x in rng.integers(0, words, int(n))] for n in (rng.integers(1, 70), rng.integers(1, 30)))
+        items = decontaminate.Items([(7, " ".join(f"w{x}" for x in item).encode()), (8, None or b"")], 3)
+        codes = decontaminate.word_codes(" ".join(f"w{x}" for x in doc).encode())
+        least = min(3, len(item))
+        runs = items.runs(codes).get(0, [])
+        assert decontaminate.tiles(runs, least) == brute_tiles(doc, item, least), (case, doc, item)
+
+
+def test_tiling_of_repetitive_texts_is_quick_and_bounded(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEEDS_AT_ONCE", 5000)
+    item = " ".join(["go"] * 150).encode()
+    items = decontaminate.Items([(1, item)])
+    doc = " ".join(["go"] * 8000).encode()
+    ((at, words, got),) = decontaminate.covered(items, doc)
+    assert (at, words, len(got)) == (0, 150, 1)
+
+
+def test_pattern_graph_equals_brute_force(spark):
+    """Scores and beliefs of the bootstrap, round by round, on a random graph of patterns and instances."""
+    rng = np.random.default_rng(32)
+    kinds = ["email", "phone", "secret"]
+    seed_of = {f"i{i}": kinds[i % 3] for i in range(0, 40, 2)}
+    met = [(f"p{rng.integers(12)}", f"i{min(int(rng.exponential(12)), 79)}") for _ in range(700)]
+    rows = spark.createDataFrame([(p, i, seed_of.get(i, "")) for p, i in met], "pattern string, instance string, seed string")
+    for support, confidence in ((3, 0.5), (2, 0.3), (5, 0.2)):
+        n, total = Counter(met), Counter(p for p, _ in met)
+        belief = {(i, k): 1.0 for i, k in seed_of.items() if any(x == i for _, x in met)}
+        for r in range(3):
+            score, believed = defaultdict(float), Counter()
+            for (p, i), c in n.items():
+                for k in kinds:
+                    if (i, k) in belief:
+                        score[p, k] += c * belief[i, k] / total[p]
+                        believed[p, k] += belief[i, k] >= confidence
+            score = {pk: min(v, 1 - 1e-9) if r < 2 else v for pk, v in score.items() if believed[pk] >= support}
+            if r < 2:
+                belief = {(i, k): 1.0 for i, k in seed_of.items() if any(x == i for _, x in met)}
+                for i in {i for _, i in met} - seed_of.keys():
+                    for k in kinds:
+                        doubts = [1 - score[p, k] for p in {p for p, x in met if x == i} if (p, k) in score]
+                        if doubts:
+                            belief[i, k] = 1 - float(np.prod(doubts))
+        want = {}
+        for (p, k), v in score.items():
+            if v >= confidence:
+                want[p] = max(want.get(p, (0, "")), (v, k))
+        got = {r.pattern: r.kind for r in pii.trusted(rows, support=support, confidence=confidence).collect()}
+        assert got == {p: k for p, (_, k) in want.items()} and got
+
+
 def shingles(text):
     w = text.encode().lower().split()
     return {xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
@@ -59,11 +134,14 @@ def test_pipeline_stages(spark, tmp_path):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert set(single) == {find(d) for d in ids}
-    items = decontaminate.Items([(r.item_id, r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    items = [decontaminate.word_codes(r.text.encode()).tolist() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    parts = [grams(w) for w in items]
 
     def leaked(text):
-        found = items.matches(decontaminate.word_codes(text.encode()))
-        return any(sum(n for *_, n in decontaminate.tiles(s, 5)) >= 0.6 * len(items.codes[i]) for i, s in found.items())
+        w = decontaminate.word_codes(text.encode()).tolist()
+        own = grams(w)
+        return any(sum(n for *_, n in brute_tiles(w, item, 5)) >= 0.6 * len(item) for item, part in zip(items, parts) if own & part)
 
     assert set(clean) == {d for d, t in single.items() if not leaked(t)}
     assert set(masked) == set(clean) and not any(pii.base_spans(t) for t in masked.values())
