@@ -1,19 +1,20 @@
 """LM scoring by deleted interpolation of n-gram maximum-likelihood estimates.
 
-    P(w | v) = a_b * c(v, w) / c(v) + b_b * c(w) / N + g_b / (V + 1)
+    P(w | u v) = a_b * c(u, v, w) / c(u, v) + b_b * c(v, w) / c(v) + g_b * c(w) / N + e_b / (V + 1)
 
-with one set of mixture weights (a_b, b_b, g_b) for each bucket b of the context's frequency (by powers of two; contexts
-never seen are bucket 0). Tokens are words of the whole text, A-Z lower-cased, and one end token; the context of the
-first token is the start of the text.
+with one set of mixture weights for each bucket b of the context's frequency: by powers of two of c(u, v), or of c(v) where
+the two words were never seen together. Tokens are words of the whole text, A-Z lower-cased, and one end token; the
+context of the first token is the start of the text.
 
 Counts come from all training documents. For the weights a share of the training documents is deleted from the counts
 and the likelihood of their tokens under the remaining counts is maximised by expectation-maximisation, over a
 histogram of all their tokens that is fine in each probability and bounded in size.
 
-Execution. Documents are dealt into chunks by a hash of id and text (only rows that repeat both meet for certain). A chunk asks for the counts of its distinct unigrams
-and bigrams (64-bit hashes) in packed blocks, one for each key range; a key range adds up the blocks of all chunks and
-answers each with the totals in the asker's order. So a frequent n-gram costs a chunk one entry, and no task
-sees more than its chunk or its key range. Looked-up counts are written, compressed, to the shared folder, and the
+Execution. Documents are dealt into chunks by a hash of id and text (only rows that repeat both meet for certain). A chunk
+asks for the counts of its distinct n-grams in packed blocks, one for each key range; a key range adds up the blocks of all
+chunks and answers each with the totals in the asker's order. So a frequent n-gram costs a chunk one entry, and no task
+sees more than its chunk or its key range. Keys are hashes of `key_bits` bits, 20 more than it takes to number all tokens: about one
+key in a million shares its counts with another. Looked-up counts are written, compressed, to the shared folder, and the
 weights and scores are computed from there.
 
 Defined results: null text is the empty text, which is one end token; repeated rows count and score each; null ids are
@@ -38,9 +39,11 @@ from spanloom.scratch import discard, settle
 CHUNK_CHARS = 12_000_000
 #: One training document in so many is deleted from the counts that the weights are learnt on.
 DELETED_SHARE = 8
-BUCKETS = 24
-#: Histogram cells per power of two of a probability, and powers covered.
-FINE, POWERS = 8, 40
+#: Powers of two of a count; a context that two words make has a bucket above these.
+POWERS_OF_COUNT = 64
+#: Histogram cells per power of two of a probability, and powers covered: those of one in all that a long can count.
+FINE, POWERS = 4, 64
+ORDERS = (1, 2, 3)
 END, START = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,44 +56,57 @@ def token_codes(text: bytes) -> np.ndarray:
     return out
 
 
-def pair_codes(codes: np.ndarray) -> np.ndarray:
-    """A hash of each token and the one before it; the context of the first is START."""
-    before = np.empty_like(codes)
-    before[0], before[1:] = START, codes[:-1]
+def _joined(before: np.ndarray, codes: np.ndarray) -> np.ndarray:
     x = (before ^ (before >> np.uint64(29))) * MIX + codes
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
+def _shifted(codes: np.ndarray) -> np.ndarray:
+    out = np.empty_like(codes)
+    out[0], out[1:] = START, codes[:-1]
+    return out
+
+
+def gram_codes(codes: np.ndarray, order: int) -> np.ndarray:
+    """A hash of each token and the order - 1 before it; before the first token stands START."""
+    for n in range(1, order):
+        tail = codes if n == 1 else out
+        out = _joined(_shifted(tail), codes)
+    return codes if order == 1 else out
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Non-negative integers, low bytes first by plane, deflated: small numbers take little."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    """Non-negative integers, low bytes first by plane, as many planes as the largest needs, deflated: small numbers take little."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
 
 
-def unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
 
 
-#: Low byte planes of key gaps that are stored as they are; the others, mostly zeros, are deflated.
-RAW_PLANES = 5
+def unpacked(blob: bytes) -> np.ndarray:
+    return _from_planes(np.frombuffer(zlib.decompress(blob[1:]), dtype=np.uint8).reshape(blob[0], -1)).astype(np.int64)
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as gaps, by byte planes."""
+    """Sorted distinct keys as gaps, by byte planes: the low ones, which are as good as random, as they are, the others deflated."""
     gaps = np.diff(keys, prepend=np.uint64(0))
+    raw = (max(1, int(gaps.astype(float).mean())).bit_length() - 1) // 8
     planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    head = zlib.compress(planes[RAW_PLANES:].tobytes(), 1)
-    return len(head).to_bytes(4, "little") + head + planes[:RAW_PLANES].tobytes()
+    head = zlib.compress(planes[raw:].tobytes(), 1)
+    return bytes([raw]) + len(head).to_bytes(4, "little") + head + planes[:raw].tobytes()
 
 
 def unpacked_keys(blob: bytes) -> np.ndarray:
-    size = 4 + int.from_bytes(blob[:4], "little")
-    raw = np.frombuffer(blob, dtype=np.uint8, offset=size).reshape(RAW_PLANES, -1)
-    head = np.frombuffer(zlib.decompress(blob[4:size]), dtype=np.uint8).reshape(8 - RAW_PLANES, -1)
-    gaps = np.ascontiguousarray(np.concatenate([raw, head]).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64)
+    raw, size = blob[0], 5 + int.from_bytes(blob[1:5], "little")
+    high = np.frombuffer(zlib.decompress(blob[5:size]), dtype=np.uint8).reshape(8 - raw, -1)
+    low = np.frombuffer(blob, dtype=np.uint8, offset=size).reshape(raw, -1) if raw else high[:0]
+    return np.cumsum(_from_planes(np.concatenate([low, high])), dtype=np.uint64)
 
 
 def _chunk_tokens(texts):
@@ -105,89 +121,93 @@ def _distinct(values: np.ndarray):
 
 
 #: role of a document: 0 held out, 1 training, 2 training but deleted for the weights
-def _asked(each, sizes, roles):
-    """For unigrams, then bigrams: distinct keys (sorted), inverse, training counts, deleted counts."""
+def _asked(each, sizes, roles, key_bits: int):
+    """For each order: distinct keys (sorted), inverse, training counts, deleted counts."""
     role = np.repeat(roles, sizes)
-    for kind in (1, 2):
-        values = np.concatenate(each) if kind == 1 else np.concatenate([pair_codes(c) for c in each])
+    for order in ORDERS:
+        values = np.concatenate([gram_codes(c, order) for c in each]) >> np.uint64(64 - key_bits)
         keys, inverse = _distinct(values)
-        yield kind, keys, inverse, np.bincount(inverse[role > 0], minlength=len(keys)), np.bincount(inverse[role == 2], minlength=len(keys))
+        yield order, keys, inverse, np.bincount(inverse[role > 0], minlength=len(keys)), np.bincount(inverse[role == 2], minlength=len(keys))
 
 
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Key range of each sorted key: equal shares of the 64-bit space."""
-    return np.minimum((keys >> np.uint64(32)).astype(np.int64) * ranges >> 32, ranges - 1)
+def _range_of(keys: np.ndarray, ranges: int, key_bits: int) -> np.ndarray:
+    """Key range of each sorted key: equal shares of the key space."""
+    return np.minimum((keys >> np.uint64(key_bits - 32)).astype(np.int64) * ranges >> 32, ranges - 1)
 
 
-def ask(key, pdf: pd.DataFrame, ranges: int) -> pd.DataFrame:
+def ask(key, pdf: pd.DataFrame, ranges: int, key_bits: int) -> pd.DataFrame:
     each, sizes = _chunk_tokens(pdf["text"])
     out = []
-    for kind, keys, _, train, deleted in _asked(each, sizes, pdf["role"].to_numpy()):
-        cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
+    for order, keys, _, train, deleted in _asked(each, sizes, pdf["role"].to_numpy(), key_bits):
+        cut = np.searchsorted(_range_of(keys, ranges, key_bits), np.arange(ranges + 1))
         for r in range(ranges):
             a, b = cut[r], cut[r + 1]
             if b > a:
-                out.append((r, kind, key[0], packed_keys(keys[a:b]), packed(train[a:b]), packed(deleted[a:b])))
+                out.append((r, order, key[0], packed_keys(keys[a:b]), packed(train[a:b]), packed(deleted[a:b])))
     return pd.DataFrame(out, columns=["range", "kind", "chunk", "keys", "train", "deleted"])
 
 
 def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals for each chunk of a key range, and on a row of chunk -1 the range's number of distinct training unigrams."""
     out = []
-    for kind in (1, 2):
-        rows = pdf[pdf["kind"] == kind].sort_values("chunk")
+    for order in ORDERS:
+        rows = pdf[pdf["kind"] == order].sort_values("chunk")
         if rows.empty:
             continue
         blocks = [unpacked_keys(k) for k in rows["keys"]]
         keys, inverse = _distinct(np.concatenate(blocks))
-        train = np.bincount(inverse, np.concatenate([unpacked(x) for x in rows["train"]]), len(keys)).astype(np.int64)
-        deleted = np.bincount(inverse, np.concatenate([unpacked(x) for x in rows["deleted"]]), len(keys)).astype(np.int64)
+        sums = lambda column: np.rint(np.bincount(inverse, np.concatenate([unpacked(x) for x in column]), len(keys))).astype(np.int64)
+        train, deleted = sums(rows["train"]), sums(rows["deleted"])
         at = 0
         for chunk, block in zip(rows["chunk"], blocks):
             own = inverse[at : at + len(block)]
             at += len(block)
-            out.append((chunk, key[0], kind, packed(train[own]), packed(deleted[own]), 0, 0))
-        if kind == 1:
+            out.append((chunk, key[0], order, packed(train[own]), packed(deleted[own]), 0, 0))
+        if order == 1:
             out.append((-1, key[0], 0, b"", b"", int((train > 0).sum()), int((train - deleted > 0).sum())))
     return pd.DataFrame(out, columns=["chunk", "range", "kind", "train", "deleted", "v", "v_kept"])
 
 
-LOOKED_UP = "id long, role int, n_tokens long, n_known long, c1 binary, c2 binary, d1 binary, d2 binary, v long, v_kept long"
+LOOKED_UP = "id string, role int, n_tokens long, n_known long, c1 binary, c2 binary, c3 binary, d1 binary, d2 binary, d3 binary, v long, v_kept long"
 
 
-def look_up(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Per document the packed counts of its tokens and bigrams: all training counts, and for deleted documents those without the deleted."""
+def look_up(key, docs: pd.DataFrame, answers: pd.DataFrame, key_bits: int) -> pd.DataFrame:
+    """Per document the packed counts of its tokens' n-grams: all training counts, and for deleted documents those without the deleted."""
     columns = [c.split()[0] for c in LOOKED_UP.split(", ")]
     if docs.empty:  # the rows of chunk -1
-        return pd.DataFrame([(None, -1, 0, 0, *[b""] * 4, int(answers["v"].sum()), int(answers["v_kept"].sum()))], columns=columns)
+        return pd.DataFrame([(None, -1, 0, 0, *[b""] * 6, int(answers["v"].sum()), int(answers["v_kept"].sum()))], columns=columns)
     each, sizes = _chunk_tokens(docs["text"])
     roles = docs["role"].to_numpy()
-    counts = {}
-    for kind, keys, inverse, _, _ in _asked(each, sizes, roles):
-        rows = answers[answers["kind"] == kind].sort_values("range")
-        for name in ("train", "deleted"):
-            totals = np.concatenate([unpacked(x) for x in rows[name]])
-            assert len(totals) == len(keys), "answers do not fit the chunk"
-            counts[kind, name] = totals.astype(np.uint32)[inverse]
-    out, at = [], 0
-    for doc, role, size in zip(docs["id"], roles, sizes):
-        part = slice(at, at + size)
-        at += size
-        c1, c2 = counts[1, "train"][part], counts[2, "train"][part]
-        kept = [packed(c - counts[k, "deleted"][part]) for k, c in ((1, c1), (2, c2))] if role == 2 else [b"", b""]  # never below zero
-        out.append((doc, int(role), int(size), int((c1 > 0).sum()), packed(c1), packed(c2), *kept, 0, 0))
-    got = pd.DataFrame(out, columns=columns)
-    got["id"] = got["id"].astype("Int64")
-    return got
-
-
-def contexts(c1: np.ndarray, starts: int) -> np.ndarray:
-    """Counts of the contexts of a text's tokens: of each token before, and of text starts for the first."""
-    return np.r_[starts, c1[:-1]]
-
-
-def bucket_of_context(cv: np.ndarray) -> np.ndarray:
-    return np.minimum(np.where(cv > 0, np.log2(np.maximum(cv, 1)).astype(np.int64) + 1, 0), BUCKETS - 1)
+    ends = np.cumsum(sizes)
+    got = {"id": docs["id"].to_numpy(), "role": roles, "n_tokens": sizes, "v": 0, "v_kept": 0}
+    for order, keys, inverse, _, _ in _asked(each, sizes, roles, key_bits):
+        rows = answers[answers["kind"] == order].sort_values("range")
+        train, deleted = (np.concatenate([unpacked(x) for x in rows[name]]) for name in ("train", "deleted"))
+        assert len(train) == len(keys), "answers do not fit the chunk"
+        parts = [inverse[z - n : z] for n, z in zip(sizes, ends)]
+        got[f"c{order}"] = [packed(train[p]) for p in parts]
+        got[f"d{order}"] = [packed(train[p] - deleted[p]) if role == 2 else b"" for p, role in zip(parts, roles)]
+        if order == 1:
+            got["n_known"] = [int((train[p] > 0).sum()) for p in parts]
+    return pd.DataFrame(got)[columns]
+
+
+def contexts(counts: np.ndarray, starts: int) -> np.ndarray:
+    """Counts of the contexts of a text's tokens, from those of the n-grams that end at each: of the one before, and of text starts for the first."""
+    return np.r_[starts, counts[:-1]]
+
+
+def power(counts: np.ndarray) -> np.ndarray:
+    """0 for none, else one more than the power of two."""
+    return np.where(counts > 0, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 0)
+
+
+def estimates(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, n: int, starts: int):
+    """(bucket, [3, tokens] maximum-likelihood estimates of the orders 3, 2 and 1) of a text's tokens."""
+    v1, v2 = contexts(c1, starts), contexts(c2, starts)
+    ratio = lambda c, v: np.divide(c, v, out=np.zeros(len(v)), where=v > 0)
+    bucket = np.where(v2 > 0, POWERS_OF_COUNT + power(v2), power(v1))
+    return bucket, np.stack([ratio(c3, v2), ratio(c2, v1), c1 / max(n, 1)])
 
 
 def _cells(p: np.ndarray) -> np.ndarray:
@@ -197,21 +217,21 @@ def _cells(p: np.ndarray) -> np.ndarray:
 
 
 def learn_weights(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.ndarray:
-    """(bucket, p2, p1 cells, n) of held-out tokens -> [BUCKETS, 3] weights of bigram, unigram and uniform, by EM in each bucket."""
-    weights = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
+    """(bucket, p3, p2, p1 cells, n) of held-out tokens -> [buckets, 4] weights of the three orders and uniform, by EM in each bucket."""
+    weights = np.tile([0.3, 0.3, 0.3, 0.1], (2 * POWERS_OF_COUNT + 1, 1))
+    weights[: POWERS_OF_COUNT + 1] = [0.0, 0.4, 0.5, 0.1]  # the two words before were never seen together
+    weights[0] = [0.0, 0.0, 0.8, 0.2]  # nor the one before: contexts that were never seen say nothing
     value = lambda c: np.where(c > 0, 2.0 ** (-(c - 1.0) / FINE), 0.0)
     for b, rows in cells.groupby("bucket"):
         n = rows["n"].to_numpy(float)
-        p = np.stack([value(rows["p2"].to_numpy(float)), value(rows["p1"].to_numpy(float)), np.full(len(rows), uniform)])
-        w = weights[int(b)] if b > 0 else np.array([0.0, 0.8, 0.2])
+        p = np.stack([*(value(rows[c].to_numpy(float)) for c in ("p3", "p2", "p1")), np.full(len(rows), uniform)])
+        w = weights[int(b)]
         for _ in range(rounds):
             part = w[:, None] * p
             w = (part / part.sum(0) * n).sum(1) / n.sum()
         # A floor keeps every probability positive.
-        w = np.maximum(w, [0.0, 1e-9, 1e-6])
+        w = np.maximum(w, [0.0, 0.0, 1e-9, 1e-6])
         weights[int(b)] = w / w.sum()
-    weights[0, 1] += weights[0, 0]  # an unseen context says nothing
-    weights[0, 0] = 0
     return weights
 
 
@@ -225,13 +245,16 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
 
     spark = docs.sparkSession
     rows = ids_and_text(docs, id_col, text_col)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_rows, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     chunks = max(1, -(-chars // chunk_chars))
+    # A token takes a character and the white space after it, at least.
+    key_bits = min(64, max(40, int(chars // 2 + n_rows).bit_length() + 20))
     role = F.when(~training, 0).when(deleted, 2).otherwise(1)
-    dealt = rows.select("id", "text", role.alias("role"), F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: ask(key, pdf, chunks), "range int, kind int, chunk int, keys binary, train binary, deleted binary")
+    # Ids travel as text: pandas would make floats of longs beside nulls.
+    dealt = rows.select(F.col("id").cast("string").alias("id"), "text", role.alias("role"), F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+    asked = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: ask(key, pdf, chunks, key_bits), "range int, kind int, chunk int, keys binary, train binary, deleted binary")
     answers = asked.groupBy("range").applyInPandas(answer, "chunk int, range int, kind int, train binary, deleted binary, v long, v_kept long")
-    looked = settle(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(look_up, LOOKED_UP), "ngram")
+    looked = settle(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda key, docs, answers: look_up(key, docs, answers, key_bits), LOOKED_UP), "ngram")
 
     sums = looked.agg(
         F.sum(F.when(F.col("role") > 0, F.col("n_tokens"))).alias("n"),
@@ -249,38 +272,37 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
         side = POWERS * FINE + 2
         for b in batches:
             parts = []
-            for d1, d2 in zip(*(c.to_pylist() for c in b.columns)):
-                c1, c2 = unpacked(d1), unpacked(d2)
-                cv = contexts(c1, starts_kept)
-                p2 = np.divide(c2, cv, out=np.zeros(len(cv)), where=cv > 0)
-                parts.append((bucket_of_context(cv) * side + _cells(p2)) * side + _cells(c1 / max(n_kept, 1)))
+            for d in zip(*(c.to_pylist() for c in b.columns)):
+                bucket, p = estimates(*map(unpacked, d), n_kept, starts_kept)
+                for cell in map(_cells, p):
+                    bucket = bucket * side + cell
+                parts.append(bucket)
             if parts:
                 keys, inverse = np.unique(np.concatenate([total, *parts]), return_inverse=True)
                 counts = np.bincount(inverse, np.r_[counts, np.ones(len(inverse) - len(total), dtype=np.int64)], len(keys)).astype(np.int64)
                 total = keys
         if len(total):
-            cols = [total // (side * side), total // side % side, total % side, counts]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "p2", "p1", "n"])
+            cols = [total // side**3, total // side**2 % side, total // side % side, total % side, counts]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "p3", "p2", "p1", "n"])
 
-    held = looked.where("role = 2").select("d1", "d2").mapInArrow(histogram, "bucket long, p2 long, p1 long, n long")
-    # At most BUCKETS * (POWERS * FINE + 2)^2 cells, whatever the corpus; a few thousand are met.
-    cells = held.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "p2", "p1"])
+    held = looked.where("role = 2").select("d1", "d2", "d3").mapInArrow(histogram, "bucket long, p3 long, p2 long, p1 long, n long")
+    # At most so many cells as buckets and powers allow, whatever the corpus; some ten thousand are met.
+    keys = ["bucket", "p3", "p2", "p1"]
+    cells = held.groupBy(*keys).agg(F.sum("n").alias("n")).toPandas().sort_values(keys)
     weights = learn_weights(cells, 1 / (v_kept + 1))
 
     def scored(batches):
         for b in batches:
             base, full = [], []
-            for c1, c2 in zip(*(c.to_pylist() for c in b.columns[4:6])):
-                c1, c2 = unpacked(c1), unpacked(c2)
-                cv = contexts(c1, starts)
+            for c in zip(*(x.to_pylist() for x in b.columns[4:7])):
+                c1, c2, c3 = map(unpacked, c)
                 base.append(float(np.log10((c1 + 1.0) / (n + v + 1.0)).sum()))
-                w = weights[bucket_of_context(cv)]
-                p = w[:, 1] * (c1 / max(n, 1)) + w[:, 2] / (v + 1)
-                p += w[:, 0] * np.divide(c2, cv, out=np.zeros(len(cv)), where=cv > 0)
-                full.append(float(np.log10(p).sum()) if n else 0.0)
+                bucket, p = estimates(c1, c2, c3, n, starts)
+                w = weights[bucket]
+                full.append(float(np.log10((w[:, :3].T * p).sum(0) + w[:, 3] / (v + 1)).sum()) if n else 0.0)
             out = [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    final = looked.where("role >= 0").select("id", (F.col("role") == 0).alias("held_out"), "n_tokens", "n_known", "c1", "c2")
+    final = looked.where("role >= 0").select(F.col("id").cast("long").alias("id"), (F.col("role") == 0).alias("held_out"), "n_tokens", "n_known", "c1", "c2", "c3")
     out = final.mapInArrow(scored, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n).cast("long"))

@@ -266,8 +266,70 @@ def test_ngram_base_counts_and_probabilities(spark):
     assert all(r.train_tokens == 0 for r in ngram.score(docs.limit(3), F.lit(False), F.lit(False)).collect())
 
 
+def test_ngram_scores_equal_brute_force(spark):
+    """Counts of three orders with and without the deleted documents, weights by EM on every deleted token, and the scores."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(150):
+        w = [int(rng.integers(30))]
+        while len(w) < 5 + int(rng.integers(60)):
+            w.append(int((w[-1] * 7 + rng.integers(3)) % 30 if rng.random() < 0.8 else rng.integers(30)))
+        texts.append(" ".join(vocabulary[x] for x in w))
+    ids = list(range(2**60, 2**60 + len(texts) - 1)) + [None]
+    docs = make_docs(spark, texts, ids)
+    held = lambda i: i is None or i % 7 == 2
+    deleted = lambda i: not held(i) and i % 4 == 0
+    at = F.col("id")
+    got = {r.id: r.score for r in ngram.score(docs, F.coalesce(at % 7 != 2, F.lit(False)), F.coalesce(at % 4 == 0, F.lit(False)), chunk_chars=4000).collect()}
+    tokens = [[None, None, *t.split(), "</end>"] for t in texts]
+
+    def counts(keep):
+        c1, c2, c3, n1, n2 = Counter(), Counter(), Counter(), Counter(), Counter()
+        for i, t in zip(ids, tokens):
+            if keep(i):
+                for u, v, w in zip(t, t[1:], t[2:]):
+                    c1[w] += 1
+                    c2[v, w] += 1
+                    c3[u, v, w] += 1
+                    n1[v] += 1
+                    n2[u, v] += 1
+        return c1, c2, c3, n1, n2
+
+    def parts(t, c):
+        c1, c2, c3, n1, n2 = c
+        total = sum(c1.values())
+        for u, v, w in zip(t, t[1:], t[2:]):
+            bucket = (3, n2[u, v].bit_length()) if n2[u, v] else (2, n1[v].bit_length())
+            yield bucket, (c3[u, v, w] / n2[u, v] if n2[u, v] else 0.0, c2[v, w] / n1[v] if n1[v] else 0.0, c1[w] / total, 1 / (len(c1) + 1))
+
+    kept, whole = counts(lambda i: not held(i) and not deleted(i)), counts(lambda i: not held(i))
+    by_bucket = defaultdict(list)
+    for i, t in zip(ids, tokens):
+        if deleted(i):
+            for b, p in parts(t, kept):
+                by_bucket[b].append(p)
+    weights = {}
+    for b, rows in by_bucket.items():
+        p = np.array(rows).T
+        w = np.array([0.3, 0.3, 0.3, 0.1]) if b[0] == 3 else np.array([0, 0.4, 0.5, 0.1])
+        for _ in range(60):
+            part = w[:, None] * p
+            w = (part / part.sum(0)).sum(1) / p.shape[1]
+        weights[b] = w
+    for i, t in zip(ids, tokens):
+        each = list(parts(t, whole))
+        if all(b in weights for b, _ in each):
+            assert got[i] == pytest.approx(sum(math.log10(float(weights[b] @ np.array(p))) for b, p in each), rel=0.02)
+    assert len(got) == len(texts)
+
+
 def test_ngram_packing():
     rng = np.random.default_rng(7)
+    for bits in (41, 48, 64):
+        keys = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) >> np.uint64(64 - bits))
+        assert (ngram.unpacked_keys(ngram.packed_keys(keys)) == keys).all()
+    assert (ngram.unpacked(ngram.packed(np.array([2**40, 1, 0]))) == [2**40, 1, 0]).all()
     x = rng.integers(0, 2**32 - 1, 1000)
     assert (ngram.unpacked(ngram.packed(x)) == x).all() and len(ngram.unpacked(ngram.packed(x[:0]))) == 0
 
