@@ -55,9 +55,25 @@ def kind_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, kind string, label string, categories int, widens boolean, metadata_only boolean")
 
 
+#: Kinds by their numbers in requests.
+NUMBERED = (
+    "SocialSecurityNumber", "EmailAddress", "PhoneNumber", "IpAddress", "PassportNumber", "DriversLicenseNumber", "StreetAddress",
+    "MedicalRecordNumber", "HealthPlanId", "NationalProviderId", "DeaNumber", "Date", "CreditCardNumber", "BankRoutingNumber", "Iban",
+    "SwiftCode", "AccountNumber", "ConfidentialStatement", "CustomTerm", "DocumentAuthor", "PersonName",
+)
+
+
 def parse_category(text: str) -> int | None:
     """The mask of a category's name, or of `all`, in any case; None if there is no such category."""
     name = text.strip().lower()
     if name == "all":
         return PII | HIPAA | FINANCIAL | CONFIDENTIAL
-    return {k.lower(): v for k, v in CATEGORIES.items()}.get(name)
+    return {"hipaa / phi": HIPAA, **{k.lower(): v for k, v in CATEGORIES.items()}}.get(name)
+
+
+def parse_kind(text: str) -> str | None:
+    """A kind by its name in any case, or by its number; None if there is no such kind."""
+    name = text.strip()
+    if name.lstrip("+-").isascii() and name.lstrip("+-").isdigit() and len(name) - len(name.lstrip("+-")) <= 1:
+        return NUMBERED[int(name)] if 0 <= int(name) < len(NUMBERED) else None
+    return {k.lower(): k for k in BY_NAME}.get(name.lower())

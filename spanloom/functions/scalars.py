@@ -40,6 +40,11 @@ def remaining(estimate: Column, elapsed: Column) -> Column:
     return F.greatest(F.lit(0.0), estimate - elapsed)
 
 
+def thousands(n: Column) -> Column:
+    """A whole number with commas between its groups of three digits, as messages show sizes and limits."""
+    return F.format_number(n, 0)
+
+
 #: Parts of font names that tell the family.
 SERIF = ("times", "serif", "georgia", "garamond", "book", "cambria", "palatino", "minion", "roman", "baskerville", "caslon", "century")
 MONOSPACE = ("courier", "mono", "consolas", "menlo", "code")

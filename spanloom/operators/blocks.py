@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.catalog import KINDS, SENTENCE_KINDS
-from spanloom.functions.scalars import trimmed_number, xml_escaped
+from spanloom.functions.scalars import clamped_point_size, trimmed_number, xml_escaped
 from spanloom.functions.spans import islands, let
 from spanloom.operators.redact import DEFAULT, candidates
 from spanloom.operators.resolve import resolve
@@ -23,7 +23,9 @@ PADDING, WIDTH_PER_POINT, LEAST_LABEL = 0.5, 0.72, 4.0
 
 
 def with_offsets(glyphs: DataFrame) -> DataFrame:
-    """Adds start: the glyph's offset in its block's text, where one character stands between words."""
+    """Adds start: the glyph's offset in its block's text, where one character stands between words. Point sizes are clamped."""
+    if "point_size" in glyphs.columns:
+        glyphs = glyphs.withColumn("point_size", clamped_point_size(F.col("point_size")))
     order = Window.partitionBy(*BLOCK).orderBy("line", "word", "glyph")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     new_word = (F.lag("line").over(order) != F.col("line")) | (F.lag("word").over(order) != F.col("word"))
@@ -83,8 +85,16 @@ def detect_blocks(blocks: DataFrame, options: RedactionOptions = DEFAULT, text:
 
 
 def covered_glyphs(glyphs: DataFrame, detections: DataFrame) -> DataFrame:
-    """Interval join: glyphs (with start) and detections (doc_id, page, block, kind, d_start, d_length) that overlap."""
-    return glyphs.join(detections, BLOCK).where((F.col("start") < F.col("d_start") + F.col("d_length")) & (F.col("d_start") < F.col("start") + F.length("text")))
+    """Interval join: glyphs (with start) and detections (doc_id, page, block, kind, d_start, d_length) that overlap.
+
+    Both sides meet on the characters that they take, and a pair counts at the first of them, so that the work is that of the
+    characters and not of all pairs of a block.
+    """
+    end, d_end = F.col("start") + F.length("text"), F.col("d_start") + F.col("d_length")
+    left = glyphs.withColumn("_at", F.explode(F.sequence(F.col("start"), F.greatest(F.col("start"), end - 1))))
+    right = detections.where("d_length > 0").withColumn("_at", F.explode(F.sequence(F.col("d_start"), d_end - 1)))
+    met = left.join(right, [*BLOCK, "_at"]).where(F.col("_at") == F.greatest("start", "d_start"))
+    return met.where((F.col("start") < d_end) & (F.col("d_start") < end)).drop("_at")
 
 
 def flat_detections(blocks: DataFrame) -> DataFrame:

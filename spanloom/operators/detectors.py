@@ -105,7 +105,7 @@ def passport(text: Column) -> Column:
 
 
 def drivers_license(text: Column) -> Column:
-    return find(text, LICENSE, "$1", "$2", _has(text, HAS_DIGIT) & text.rlike(r"(?i)licen[cs]e|(?U:\bdl\b)"))
+    return find(text, LICENSE, "$1", "$2", _has(text, HAS_DIGIT) & text.rlike(r"(?i)licen[cs]e|(?U:\bdl)"))
 
 
 def medical_record(text: Column) -> Column:

@@ -135,6 +135,23 @@ def _listed(text: Column, runs: Column, names, ambiguous) -> Column:
     return F.array_compact(F.transform(runs, one))
 
 
+def read_given_names(lines) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Lines of a name list -> (given_names, ambiguous_names) for person_names.
+
+    One name a line; `#` starts a comment line, and names behind the line `## ambiguous` are words too. Repeats count once.
+    """
+    names: dict[str, None] = {}
+    ambiguous: dict[str, None] = {}
+    into = names
+    for line in lines:
+        name = line.strip()
+        if name == "## ambiguous":
+            into = ambiguous
+        elif name and not name.startswith("#"):
+            into[name] = None
+    return tuple(names), tuple(ambiguous)
+
+
 def person_names(text: Column, given_names=tuple(GIVEN_NAMES), ambiguous_names=tuple(AMBIGUOUS_NAMES)) -> Column:
     """Names without their titles and labels; where rules overlap the longest span stays."""
     names = [*given_names, *ambiguous_names]

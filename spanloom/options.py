@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from spanloom.catalog import BY_NAME, KINDS, parse_category
+from spanloom.catalog import BY_NAME, KINDS, parse_category, parse_kind
 
 ALL = 15
 DEFAULT_PLACEHOLDER = "[{0}]"
@@ -66,13 +66,13 @@ def parse_request(categories=(), excluded=(), terms="", case_sensitive: bool = F
             errors["categories"] = f"Unknown category '{n}'."
         else:
             mask |= found
-    lower = {k.name.lower(): k.name for k in KINDS}
     out = set()
     for n in names(excluded):
-        if n.lower() not in lower:
+        kind = parse_kind(n)
+        if kind is None:
             errors["excludedKinds"] = f"Unknown kind '{n}'."
         else:
-            out.add(lower[n.lower()])
+            out.add(kind)
     own = tuple(t.strip() for x in ([terms] if isinstance(terms, str) else terms) for t in re.split(r"\r\n|\r|\n", x) if t.strip())
     if not mask and not own and "categories" not in errors:
         errors["categories"] = "Select a category or give a custom term."
@@ -82,3 +82,23 @@ def parse_request(categories=(), excluded=(), terms="", case_sensitive: bool = F
     except ValueError as e:
         errors["placeholderFormat"] = str(e)
     return (None if errors else RedactionOptions(mask, frozenset(out), own, case_sensitive, shape)), errors
+
+
+def bind_form(fields) -> dict:
+    """(name, value) pairs of a form -> arguments of parse_request.
+
+    Repeated fields stay lists and other fields are ignored; the flag is true only where its one value reads `true`; a
+    repeated placeholder is joined by commas. Null values are left out.
+    """
+    got: dict[str, list[str]] = {}
+    for name, value in fields:
+        if value is not None:
+            got.setdefault(name.lower(), []).append(value)
+    shape, flag = got.get("placeholderformat"), ",".join(got.get("customtermsarecasesensitive", []))
+    return {
+        "categories": got.get("categories", []),
+        "excluded": got.get("excludedkinds", []),
+        "terms": got.get("customterms", []),
+        "case_sensitive": flag.strip().lower() == "true",
+        "placeholder": None if shape is None else ",".join(shape),
+    }

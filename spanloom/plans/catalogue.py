@@ -13,7 +13,7 @@ from spanloom import catalog
 from spanloom.functions import checksums, scalars
 from spanloom.operators import blocks, detectors, redact, segments, throughput
 from spanloom.operators.resolve import DETECTIONS, resolve
-from spanloom.options import RedactionOptions
+from spanloom.options import RedactionOptions, bind_form, parse_request
 from spanloom.scratch import shared_folder
 from spanloom.sources import docx, routing, text_files
 from spanloom.streaming.redaction import redact_stream, windowed_report
@@ -284,6 +284,77 @@ def detect_person_name(spark, sf_dir):
     return spans_of(_orders(spark, sf_dir, text, F.col("o_orderkey").cast("string")), "PersonName", "id")
 
 
+#: (kind, text, what is found): forms of identifiers that the tables do not hold, and texts that must find nothing.
+DETECTOR_CASES = [
+    ("SocialSecurityNumber", "ssn #219-09-9999, social security no. 219099999", "219-09-9999|219099999"),
+    ("SocialSecurityNumber", "219 09 9999; 900-12-3456 666-12-3456 219-00-1234 219-09-0000 1219-09-9999", "219 09 9999"),
+    ("EmailAddress", "to <o'neil.a+b@sub-1.mail.example.org>; no@host, @x.com, a@b.c", "neil.a+b@sub-1.mail.example.org"),
+    ("PhoneNumber", "212-555-0187, 212.555.0187, (212)555-0187 x42, 1-212-555-0187", "212-555-0187|212.555.0187|(212)555-0187 x42|1-212-555-0187"),
+    ("PhoneNumber", "+49 30 901820, +33 1 42 68 53 00; 12-555-0187 2125550187", "+49 30 901820|+33 1 42 68 53 00"),
+    ("IpAddress", "at 0.0.0.0 and 255.255.255.255, not 1.2.3, 1.2.3.4.5, 300.1.1.1", "0.0.0.0|255.255.255.255"),
+    ("PassportNumber", "passport # C01X00T47 and PASSPORT number 987654321; passport holder", "C01X00T47|987654321"),
+    ("DriversLicenseNumber", "DL: K9876-54321; driver licence no K55-66; bundled 99887766", "K9876-54321|K55-66"),
+    ("DriversLicenseNumber", "a software licence, version", ""),
+    ("MedicalRecordNumber", "mrn 77-1234, patient no. B2C4, medical record number: 0099; mrnx 8888", "77-1234|B2C4|0099"),
+    ("HealthPlanId", "policy number PN-44-8, medicaid id: 0A1B2C; card 2AA1CC3DD45 shown", "PN-44-8|0A1B2C|2AA1CC3DD45"),
+    ("HealthPlanId", "0AA1CC3DD45 and member idea", ""),
+    ("NationalProviderId", "1234567893, 1245319599; 1234567890", "1234567893|1245319599"),
+    ("DeaNumber", "F91234563 BB1388568 ab1234563 BB1388569", "F91234563|BB1388568"),
+    ("BankRoutingNumber", "021000021 and 011401533 but not 021000022 or 991000021", "021000021|011401533"),
+    ("CreditCardNumber", "5555-5555-5555-4444, 3782 822463 10005, 6011111111111117, 4111 1111-1111 1111", "5555-5555-5555-4444|3782 822463 10005|6011111111111117"),
+    ("Iban", "NO93 8601 1117 947, FR1420041010050500013M02606 and GB82WEST12345698765432x", "NO93 8601 1117 947|FR1420041010050500013M02606"),
+    ("Iban", "GB82 WEST 1234 5698 7654 33, ZZ82WEST12345698765432", ""),
+    ("SwiftCode", "BIC: NEDSZAJJXXX; swift code CHASUS33. SWIFT progress", "NEDSZAJJXXX|CHASUS33"),
+    ("AccountNumber", "acct 1234 5678 90, account number 55-66-7788, a/c 00112233, account 12-34", "1234 5678 90|55-66-7788|00112233"),
+    ("StreetAddress", "5B S. Elm Ave., Suite 12 or 1600 North Oak Tree Parkway; 7 days Street", "5B S. Elm Ave., Suite 12|1600 North Oak Tree Parkway"),
+    ("Date", "3/4/1999, 31-12-24, 2023-11-05, Sept 9 2001, 1st Mar. 2020; 45/45/2020, 2023-13-01", "3/4/1999|31-12-24|2023-11-05|Sept 9 2001|1st Mar. 2020"),
+    ("ConfidentialStatement", "Hello there. This is internal use only! Bye.\nOur trade secret", "This is internal use only!|Our trade secret"),
+    ("PersonName", "Prof. Ada van der Berg met Judge Amy Coney at noon.", "Ada van der Berg|Amy Coney"),
+    ("PersonName", "Attn - Lee, Kim\nDear Max,\nYours truly,\nJosé García-Díaz", "Lee, Kim|Max|José García-Díaz"),
+    ("PersonName", "May Day is here. He met May Parker and Thomas Gray Inc.", "May Parker|Thomas Gray"),
+]
+
+
+@query(f"select case_id, kind, unnest(string_split(found, '|')) as value from (values {_literal((i, k, f) for i, (k, _, f) in enumerate(DETECTOR_CASES))}) t(case_id, kind, found) where found <> ''")
+def detector_cases(spark, sf_dir):
+    rows = spark.createDataFrame([(i, k, t) for i, (k, t, _) in enumerate(DETECTOR_CASES)], "case_id int, kind string, text string")
+    kinds = sorted({k for k, _, _ in DETECTOR_CASES})
+    found = None
+    for kind in kinds:
+        part = spans_of(rows.where(F.col("kind") == kind), kind, "case_id", "kind").drop("start")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+#: (name, form fields, mask, excluded kinds, terms, error fields).
+REQUEST_FORMS = [
+    ("lists", [("categories", "pii"), ("categories", "Financial; hipaa / phi"), ("customTerms", "a b\nc")], 7, "", "a b|c", ""),
+    ("numbers", [("categories", "all"), ("excludedKinds", "0,iban"), ("customTermsAreCaseSensitive", "TRUE")], 15, "Iban|SocialSecurityNumber", "", ""),
+    ("terms only", [("customTerms", " x "), ("customTermsAreCaseSensitive", "yes")], 0, "", "x", ""),
+    ("nothing", [("categories", " ; ,"), ("other", "pii")], None, "", "", "categories"),
+    ("all wrong", [("categories", "nope"), ("excludedKinds", "21"), ("placeholderFormat", "{1}")], None, "", "", "categories|excludedKinds|placeholderFormat"),
+]
+
+
+@query(f"select * from (values {_literal((n, m, e, t, x) for n, _, m, e, t, x in REQUEST_FORMS)}) r(name, mask, excluded, terms, errors)")
+def request_forms(spark, sf_dir):
+    rows = []
+    for name, fields, *_ in REQUEST_FORMS:
+        options, errors = parse_request(**bind_form(fields))
+        rows.append((name, options and options.categories, "|".join(sorted(options.excluded)) if options else "", "|".join(options.terms) if options else "", "|".join(sorted(errors))))
+    return spark.createDataFrame(rows, "name string, mask int, excluded string, terms string, errors string")
+
+
+@query("select (c_custkey * 1234567)::bigint as n, format('{:,}', (c_custkey * 1234567)::bigint) as shown from customer")
+def thousands_format(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select((F.col("c_custkey") * 1234567).alias("n")).withColumn("shown", scalars.thousands(F.col("n")))
+
+
+@query("select l_orderkey as id, l_linenumber as n, greatest(1.0::double, least(400.0::double, (l_quantity - 10) * 15)) as size from lineitem")
+def point_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), scalars.clamped_point_size((F.col("l_quantity") - 10) * 15).alias("size"))
+
+
 # --- span algebra ----------------------------------------------------------------------------------------------------
 
 SPAN_KINDS = ("Date", "Iban", "PhoneNumber", "SocialSecurityNumber", "EmailAddress", "AccountNumber", "PersonName")
@@ -522,6 +593,15 @@ def route_format(spark, sf_dir):
     return rows.withColumn("format", routing.format_of(F.col("file_name"), F.col("content_type")))
 
 
+@query(
+    f"""select file_name, content_type, 'No processor for ''' || seen || '''; known are .csv, .docx, .log, .md, .pdf, .text, .txt' as message
+    from (values ('e.BIN', 'image/png', '.BIN'), ('noext', ' image/png ;q=1', 'image/png'), ('noext', null, 'unknown')) t(file_name, content_type, seen)"""
+)
+def route_errors(spark, sf_dir):
+    rows = spark.createDataFrame([*[r[:2] for r in ROUTES], ("e.BIN", "image/png"), ("noext", " image/png ;q=1"), ("noext", None)], "file_name string, content_type string").where("file_name <> 'e.bin'")
+    return rows.withColumn("message", routing.unsupported_message(F.col("file_name"), F.col("content_type"))).where("message is not null")
+
+
 @query("select c_custkey as id, case when c_custkey % 5 = 0 then 'document' else c_name end || '-redacted' || case c_custkey % 3 when 0 then '.txt' when 1 then '.docx' else '.pdf' end as name from customer")
 def output_name(spark, sf_dir):
     k = F.col("c_custkey")

@@ -14,19 +14,40 @@ FORMATS = (
 )
 
 
+def _checked(formats):
+    """The table, unless two formats claim one extension or media type."""
+    for column in (1, 2):
+        claimed = [x.lower() for f in formats for x in f[column]]
+        if len(claimed) != len(set(claimed)):
+            raise ValueError("two formats claim " + ", ".join(sorted({x for x in claimed if claimed.count(x) > 1})))
+    return formats
+
+
 def _lookup(pairs) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs for x in p])
 
 
+_checked(FORMATS)
+
+
 def format_of(file_name: Column, content_type: Column) -> Column:
     """By extension first, else by media type without its parameters; null if neither is known."""
-    ext = F.lower(F.regexp_extract(F.coalesce(file_name, F.lit("")), r"(\.[^./\\]*)$", 1))
+    ext = F.lower(_extension(file_name))
     kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
     return F.coalesce(_lookup([(e, f[0]) for f in FORMATS for e in f[1]])[ext], _lookup([(t, f[0]) for f in FORMATS for t in f[2]])[kind])
 
 
-def unsupported_message() -> str:
-    return "Unsupported file type. Supported: " + ", ".join(sorted(e for f in FORMATS for e in f[1])) + "."
+def _extension(file_name: Column) -> Column:
+    return F.regexp_extract(F.coalesce(file_name, F.lit("")), r"(\.[^./\\]*)$", 1)
+
+
+def unsupported_message(file_name: Column, content_type: Column) -> Column:
+    """Names what a file was taken for, by its extension, else its media type, and what there is; null for a known format."""
+    known = ", ".join(sorted(e for f in FORMATS for e in f[1]))
+    kind = F.nullif(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)), F.lit(""))
+    seen = F.coalesce(F.nullif(_extension(file_name), F.lit("")), kind, F.lit("unknown"))
+    told = F.concat(F.lit("No processor for '"), seen, F.lit(f"'; known are {known}"))
+    return F.when(format_of(file_name, content_type).isNull(), told)
 
 
 def output_name(file_name: Column, fmt: Column) -> Column:
