@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as words (letters and digits of any script, A-Z lower-cased; other ASCII characters split words).
+Texts are compared as words (letters and digits of any script, A-Z lower-cased; ASCII and other punctuation and spaces split
+words, and each ideograph or kana is a word).
 Seeds are runs of `k` words that document and test item share, found by a Karp-Rabin hash that rolls over the document
 and proved word by word; seeds that follow each other on one diagonal are a run. Of the runs of one document and item the
 longest is taken, its words are marked on both sides, and the rest is searched again, so passages in any order add up. The covered share of the item's words
@@ -10,13 +11,14 @@ The test items are searched in blocks of at most `block_bytes` of text, each sen
 any size run in bounded memory; every block reads all documents once. An item's seeds never leave its block.
 
 Defined results: null and empty documents match nothing; null or empty items are not searched for; an item under k
-words is one seed; repeated items, ids and rows each give their own result; empty tables give no rows; other columns
+words is met only by documents of just these words; repeated items, ids and rows each give their own result; empty tables give no rows; other columns
 of the documents are carried along by `clean` and ignored by `leaks`.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,15 @@ def _word_bytes() -> bytes:
 WORD_BYTES = _word_bytes()
 
 
+#: In UTF-8: U+00A0 to U+00BF, general punctuation and CJK punctuation; ideographs and kana.
+MARKS = re.compile(rb"\xc2[\xa0-\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\xbf]")
+SIGNS = re.compile(rb"[\xe4-\xe9][\x80-\xbf]{2}|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]")
+
+
 def word_codes(text: bytes) -> np.ndarray:
     """A 64-bit code for each word of the whole text."""
+    if not text.isascii():
+        text = SIGNS.sub(rb" \g<0> ", MARKS.sub(b" ", text))
     w = text.translate(WORD_BYTES).split()
     return np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
 
@@ -89,6 +98,8 @@ class Items:
         """item -> (document position, item position, words) of all maximal runs of shared seeds, proved word by word."""
         found: dict[int, list[tuple[int, int, int]]] = {}
         for n, (seeds, items, places, table, shift) in self.index.items():
+            if n < self.k and len(codes) != n:  # a few words alone are no leak
+                continue
             h = rolling(codes, n)
             at = np.flatnonzero(table[h >> shift])
             low, high = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")

@@ -352,7 +352,12 @@ def test_tiling_catches_reordered_passages(spark):
         assert {r.doc_id for r in decontaminate.clean(df, bench, block_bytes=block).collect()} == {2, 3, 4, 5, 6, 9}
     assert decontaminate.clean(df, bench).columns == df.columns
     assert decontaminate.leaks(df, bench.where("false")).count() == 0 and decontaminate.leaks(df.where("false"), bench).count() == 0
-    assert decontaminate.leaks(make_docs(spark, ["say two words", "two", None]), bench).count() == 1
+    assert decontaminate.leaks(make_docs(spark, ["say two words", "Two, words!", None]), bench).toPandas().doc_id.tolist() == [1]
+    cjk = spark.createDataFrame([(9, "\u6625\u306e\u6d77\u7d42\u65e5\u306e\u305f\u308a\u304b\u306a")], "item_id long, text string")
+    own = ["\u53e5\u300c\u6625\u306e\u6d77\u7d42\u65e5\u306e\u305f\u308a\u304b\u306a\u300d\u3067\u3059", "\u6625\u306e\u5c71"]
+    assert decontaminate.leaks(make_docs(spark, own), cjk).toPandas().doc_id.tolist() == [0]
+    quoted = "\u00ab" + "\u00a0".join(item) + "\u00bb\u2014" + " ".join(noise)
+    assert decontaminate.leaks(make_docs(spark, [quoted]), bench).count() == 2
 
 
 # --- 6 sketches --------------------------------------------------------------------------------------------------------

@@ -60,6 +60,9 @@ def test_tiling_equals_its_definition():
         items = decontaminate.Items([(7, " ".join(f"w{x}" for x in item).encode()), (8, None or b"")], 3)
         codes = decontaminate.word_codes(" ".join(f"w{x}" for x in doc).encode())
         least = min(3, len(item))
+        if len(item) < 3:
+            assert (items.runs(codes) != {}) == (doc == item)
+            continue
         runs = items.runs(codes).get(0, [])
         assert decontaminate.tiles(runs, least) == brute_tiles(doc, item, least), (case, doc, item)
 
@@ -149,3 +152,22 @@ def test_pipeline_stages(spark, tmp_path):
     copies = Counter(r.doc_id for r in docs.collect())
     assert set(copies) <= set(masked) and 0.5 < sum(copies.values()) / len(masked) < 1.5
     assert len(good) < len(read)
+
+
+def test_pipeline_on_nulls_and_empty_tables(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, spans int, text_key string"
+    rows = [(1, None, None, None, None, 1, "a"), (None, "", "en", "s", 0, 2, "b"), (None, "some few words here now", "en", None, 23, None, None), (4, "some few words here now", None, "s", 23, 1, "x"), (5, "mail a@b.co", "en", "s", 11, 1, "x"), (5, "mail a@b.co", "en", "s", 11, 1, "x")]
+    for case, docs in (("some", rows), ("none", [])):
+        path = f"{tmp_path}/{case}"
+        spark.createDataFrame(docs, kind).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        frame = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, frame, path).columns == frame.columns, name
+        out = corpus_pipeline.run(spark, path)
+        got = {(r.doc_id, r.text) for r in out.collect()}
+        assert out.columns[: len(frame.columns)] == frame.columns
+        assert got <= {(1, None), (None, ""), (4, "some few words here now"), (5, "mail [EMAIL]")} and (bool(got) or not docs)
+        single = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame, path).collect()}
+        assert single == ({(1, None), (4, "some few words here now"), (5, "mail a@b.co")} if docs else set())
