@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which the caller writes
 as Parquet and rereads as the next one's docs. All but the last return the columns of documents.
+
+Defined results: a null text is judged and compared as the empty text and stays null; null ids are kept, the classifiers score them
+like any other; of rows that repeat id and text one stays; without labels no document is rejected, without benchmark items none
+leaks; an empty table passes through as an empty table; columns beyond those of documents are carried along by every stage.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import decontaminate, mixing, pii, quality, simhash
-from spanloom.scratch import settle
+from spanloom.scratch import discard, settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        done = settle(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
