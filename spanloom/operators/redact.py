@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanloom.catalog import KINDS
 from spanloom.functions.spans import let, spliced
@@ -62,6 +63,12 @@ def merge_reports(reports: DataFrame, keys: list[str] | None = None) -> DataFram
     return reports.groupBy(*(keys or []), "kind").agg(F.sum("n").cast("long").alias("n"))
 
 
+def top_rows(report: DataFrame, group: list[str], keys: list[str], k: int) -> DataFrame:
+    """The k rows of each group with the largest n, ties by the keys: a top-k report over counts, which are few."""
+    order = Window.partitionBy(*group).orderBy(F.desc("n"), *keys)
+    return report.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 def report_map(detections: Column) -> Column:
     """MAP<kind, count> of one row, kinds sorted."""
     kinds = F.array_sort(F.array_distinct(F.transform(detections, lambda d: d["kind"])))

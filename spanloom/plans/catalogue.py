@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from spanloom import catalog
 from spanloom.functions import checksums, scalars
+from spanloom.functions.spans import find
 from spanloom.operators import blocks, detectors, redact, segments, throughput
 from spanloom.operators.resolve import DETECTIONS, resolve
 from spanloom.options import RedactionOptions, bind_form, parse_request
+from spanloom.plans import routes
 from spanloom.scratch import shared_folder
 from spanloom.sources import docx, routing, text_files
 from spanloom.streaming.redaction import redact_stream, windowed_report
@@ -413,6 +415,10 @@ COUNTS_SQL = f"""(select doc_id, source, lang, unnest(['EmailAddress', 'IpAddres
     unnest([len(regexp_extract_all(text, '{EMAIL_RE}')), len({IP_SQL}), len({CARD_SQL})]) as n from documents)"""
 
 
+REPORT_JSON_SQL = f"""select doc_id, '{{"total":' || sum(n)::bigint || ',"counts":[' || coalesce(string_agg('{{"kind":"' || kind || '","count":' || n || '}}', ',' order by kind) filter (n > 0), '') || ']}}' as report
+    from {COUNTS_SQL} group by doc_id"""
+
+
 @query(f"select kind, sum(n)::bigint as n from {COUNTS_SQL} where n > 0 group by kind")
 def report_by_kind(spark, sf_dir):
     return redact.long_report(redact.detect(table(spark, sf_dir, "documents"), options=CONTACTS), [])
@@ -435,6 +441,52 @@ def report_merge(spark, sf_dir):
     return redact.merge_reports(docs.select("kind", "n").unionByName(pages))
 
 
+@query(
+    f"""select kind, source, n, place from (select kind, source, sum(n)::bigint as n, row_number() over (partition by kind order by sum(n) desc, source)::int as place
+      from {COUNTS_SQL} where n > 0 group by kind, source) where place <= 3"""
+)
+def report_top_sources(spark, sf_dir):
+    """The three sources with the most spans of each kind."""
+    report = redact.long_report(redact.detect(table(spark, sf_dir, "documents"), options=CONTACTS), ["source"])
+    return redact.top_rows(report, ["kind"], ["source"], 3)
+
+
+@query("select doc_id, unnest(regexp_extract_all(text, '[0-9a-f]{32,}')) as value from documents")
+def own_registry(spark, sf_dir):
+    """A registry with one detector of the caller's own; kinds without a detector are left out."""
+    registry = {"AccountNumber": lambda text: find(text, "[0-9a-f]{32,}")}
+    found = redact.detect(table(spark, sf_dir, "documents"), registry=registry)
+    return found.select("doc_id", F.explode(values(F.col("detections"))).alias("value"))
+
+
+CONTACT_REQUEST = {"categories": "pii,financial", "excluded": ";".join(sorted(CONTACTS.excluded - {"MedicalRecordNumber"}))}
+
+
+@query("select category, unnest(string_split(kinds, ' ')) as kind from (values ('Financial', 'CreditCardNumber Iban BankRoutingNumber SwiftCode AccountNumber'), ('Confidential', 'ConfidentialStatement')) t(category, kinds)")
+def route_categories(spark, sf_dir):
+    return routes.categories(spark).where("category in ('Financial', 'Confidential')").select("category", F.explode("kinds").alias("kind"))
+
+
+@query(REPORT_JSON_SQL)
+def route_summary(spark, sf_dir):
+    return routes.summary(table(spark, sf_dir, "documents").select("doc_id", "text"), CONTACT_REQUEST)
+
+
+@query(
+    rf"""with t as (select doc_id, text, {CARD_SQL} as cards from documents),
+    u as (select doc_id, list_reduce([text] || cards, lambda acc, x: replace(acc, x, '[CREDIT-CARD]')) as text from t)
+    select doc_id, regexp_replace(regexp_replace(text, '{EMAIL_RE}', '[EMAIL]', 'g'), '(^|[^0-9.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}($|[^0-9.])', '\1[IP]\2', 'g') as text from u"""
+)
+def route_redacted(spark, sf_dir):
+    return routes.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), CONTACT_REQUEST).select("doc_id", "text")
+
+
+@query("select * from (values ('none', 200), ('unsupported', 415), ('invalid', 422), ('empty', 422), ('too_large', 413), ('other', 400)) t(error, status)")
+def status_codes(spark, sf_dir):
+    errors = ["none", "unsupported", "invalid", "empty", "too_large", "other"]
+    return spark.createDataFrame([(e, throughput.status_code(None if e == "none" else e)) for e in errors], "error string, status int")
+
+
 # --- checksums and scalars -------------------------------------------------------------------------------------------
 
 
@@ -548,10 +600,7 @@ def decode_limits(spark, sf_dir):
     return out.select("doc_id", "stream_id", "bound", "running_bytes", "status")
 
 
-@query(
-    f"""select doc_id, '{{"total":' || sum(n)::bigint || ',"counts":[' || coalesce(string_agg('{{"kind":"' || kind || '","count":' || n || '}}', ',' order by kind) filter (n > 0), '') || ']}}' as report
-    from {COUNTS_SQL} group by doc_id"""
-)
+@query(REPORT_JSON_SQL)
 def report_json(spark, sf_dir):
     found = redact.detect(table(spark, sf_dir, "documents"), options=CONTACTS)
     return found.select("doc_id", redact.report_json(F.col("detections")).alias("report"))
