@@ -3,7 +3,7 @@
     P(w | u v) = a_b * c(u, v, w) / c(u, v) + b_b * c(v, w) / c(v) + g_b * c(w) / N + e_b / (V + 1)
 
 with one set of mixture weights for each bucket b of the context's frequency: by powers of two of c(u, v), or of c(v) where
-the two words were never seen together. Tokens are words of the whole text, A-Z lower-cased, and one end token; the
+the two words were never seen together. The highest `order` is 3 or 2; without trigrams a_b is zero and buckets are those of c(v). Tokens are words of the whole text, A-Z lower-cased, and one end token; the
 context of the first token is the start of the text.
 
 Counts come from all training documents. For the weights a share of the training documents is deleted from the counts
@@ -13,8 +13,8 @@ histogram of all their tokens that is fine in each probability and bounded in si
 Execution. Documents are dealt into chunks by a hash of id and text (only rows that repeat both meet for certain). A chunk
 asks for the counts of its distinct n-grams in packed blocks, one for each key range; a key range adds up the blocks of all
 chunks and answers each with the totals in the asker's order. So a frequent n-gram costs a chunk one entry, and no task
-sees more than its chunk or its key range. Keys are hashes of `key_bits` bits, 20 more than it takes to number all tokens: about one
-key in a million shares its counts with another. Looked-up counts are written, compressed, to the shared folder, and the
+sees more than its chunk or its key range. Words are keyed by 64-bit hashes, longer n-grams by `key_bits` bits, 20 more
+than it takes to number all tokens: about one key in a million shares its counts with another. Looked-up counts are written, compressed, to the shared folder, and the
 weights and scores are computed from there.
 
 Defined results: null text is the empty text, which is one end token; repeated rows count and score each; null ids are
@@ -42,8 +42,9 @@ DELETED_SHARE = 8
 #: Powers of two of a count; a context that two words make has a bucket above these.
 POWERS_OF_COUNT = 64
 #: Histogram cells per power of two of a probability, and powers covered: those of one in all that a long can count.
-FINE, POWERS = 4, 64
-ORDERS = (1, 2, 3)
+FINE, POWERS = 8, 64
+#: Highest order of the query's model: trigrams more than double what is shuffled.
+ORDER = 2
 END, START = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,7 +90,9 @@ def _from_planes(planes: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def unpacked(blob: bytes) -> np.ndarray:
+def unpacked(blob: bytes) -> np.ndarray | None:
+    if not blob:
+        return None
     return _from_planes(np.frombuffer(zlib.decompress(blob[1:]), dtype=np.uint8).reshape(blob[0], -1)).astype(np.int64)
 
 
@@ -121,13 +124,13 @@ def _distinct(values: np.ndarray):
 
 
 #: role of a document: 0 held out, 1 training, 2 training but deleted for the weights
-def _asked(each, sizes, roles, key_bits: int):
-    """For each order: distinct keys (sorted), inverse, training counts, deleted counts."""
+def _asked(each, sizes, roles, key_bits: int, order: int):
+    """For each n-gram size up to order: distinct keys (sorted), inverse, training counts, deleted counts."""
     role = np.repeat(roles, sizes)
-    for order in ORDERS:
-        values = np.concatenate([gram_codes(c, order) for c in each]) >> np.uint64(64 - key_bits)
-        keys, inverse = _distinct(values)
-        yield order, keys, inverse, np.bincount(inverse[role > 0], minlength=len(keys)), np.bincount(inverse[role == 2], minlength=len(keys))
+    for size in range(1, order + 1):
+        values = np.concatenate([gram_codes(c, size) for c in each])
+        keys, inverse = _distinct(values if size == 1 else values >> np.uint64(64 - key_bits))
+        yield size, keys, inverse, np.bincount(inverse[role > 0], minlength=len(keys)), np.bincount(inverse[role == 2], minlength=len(keys))
 
 
 def _range_of(keys: np.ndarray, ranges: int, key_bits: int) -> np.ndarray:
@@ -135,25 +138,23 @@ def _range_of(keys: np.ndarray, ranges: int, key_bits: int) -> np.ndarray:
     return np.minimum((keys >> np.uint64(key_bits - 32)).astype(np.int64) * ranges >> 32, ranges - 1)
 
 
-def ask(key, pdf: pd.DataFrame, ranges: int, key_bits: int) -> pd.DataFrame:
+def ask(key, pdf: pd.DataFrame, ranges: int, key_bits: int, order: int) -> pd.DataFrame:
     each, sizes = _chunk_tokens(pdf["text"])
     out = []
-    for order, keys, _, train, deleted in _asked(each, sizes, pdf["role"].to_numpy(), key_bits):
-        cut = np.searchsorted(_range_of(keys, ranges, key_bits), np.arange(ranges + 1))
+    for size, keys, _, train, deleted in _asked(each, sizes, pdf["role"].to_numpy(), key_bits, order):
+        cut = np.searchsorted(_range_of(keys, ranges, 64 if size == 1 else key_bits), np.arange(ranges + 1))
         for r in range(ranges):
             a, b = cut[r], cut[r + 1]
             if b > a:
-                out.append((r, order, key[0], packed_keys(keys[a:b]), packed(train[a:b]), packed(deleted[a:b])))
+                out.append((r, size, key[0], packed_keys(keys[a:b]), packed(train[a:b]), packed(deleted[a:b])))
     return pd.DataFrame(out, columns=["range", "kind", "chunk", "keys", "train", "deleted"])
 
 
 def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals for each chunk of a key range, and on a row of chunk -1 the range's number of distinct training unigrams."""
     out = []
-    for order in ORDERS:
-        rows = pdf[pdf["kind"] == order].sort_values("chunk")
-        if rows.empty:
-            continue
+    for size in sorted(set(pdf["kind"])):
+        rows = pdf[pdf["kind"] == size].sort_values("chunk")
         blocks = [unpacked_keys(k) for k in rows["keys"]]
         keys, inverse = _distinct(np.concatenate(blocks))
         sums = lambda column: np.rint(np.bincount(inverse, np.concatenate([unpacked(x) for x in column]), len(keys))).astype(np.int64)
@@ -162,8 +163,8 @@ def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
         for chunk, block in zip(rows["chunk"], blocks):
             own = inverse[at : at + len(block)]
             at += len(block)
-            out.append((chunk, key[0], order, packed(train[own]), packed(deleted[own]), 0, 0))
-        if order == 1:
+            out.append((chunk, key[0], size, packed(train[own]), packed(deleted[own]), 0, 0))
+        if size == 1:
             out.append((-1, key[0], 0, b"", b"", int((train > 0).sum()), int((train - deleted > 0).sum())))
     return pd.DataFrame(out, columns=["chunk", "range", "kind", "train", "deleted", "v", "v_kept"])
 
@@ -171,7 +172,7 @@ def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
 LOOKED_UP = "id string, role int, n_tokens long, n_known long, c1 binary, c2 binary, c3 binary, d1 binary, d2 binary, d3 binary, v long, v_kept long"
 
 
-def look_up(key, docs: pd.DataFrame, answers: pd.DataFrame, key_bits: int) -> pd.DataFrame:
+def look_up(key, docs: pd.DataFrame, answers: pd.DataFrame, key_bits: int, order: int) -> pd.DataFrame:
     """Per document the packed counts of its tokens' n-grams: all training counts, and for deleted documents those without the deleted."""
     columns = [c.split()[0] for c in LOOKED_UP.split(", ")]
     if docs.empty:  # the rows of chunk -1
@@ -180,14 +181,15 @@ def look_up(key, docs: pd.DataFrame, answers: pd.DataFrame, key_bits: int) -> pd
     roles = docs["role"].to_numpy()
     ends = np.cumsum(sizes)
     got = {"id": docs["id"].to_numpy(), "role": roles, "n_tokens": sizes, "v": 0, "v_kept": 0}
-    for order, keys, inverse, _, _ in _asked(each, sizes, roles, key_bits):
-        rows = answers[answers["kind"] == order].sort_values("range")
+    got |= {f"{c}{size}": [b""] * len(docs) for c in "cd" for size in range(order + 1, 4)}
+    for size, keys, inverse, _, _ in _asked(each, sizes, roles, key_bits, order):
+        rows = answers[answers["kind"] == size].sort_values("range")
         train, deleted = (np.concatenate([unpacked(x) for x in rows[name]]) for name in ("train", "deleted"))
         assert len(train) == len(keys), "answers do not fit the chunk"
         parts = [inverse[z - n : z] for n, z in zip(sizes, ends)]
-        got[f"c{order}"] = [packed(train[p]) for p in parts]
-        got[f"d{order}"] = [packed(train[p] - deleted[p]) if role == 2 else b"" for p, role in zip(parts, roles)]
-        if order == 1:
+        got[f"c{size}"] = [packed(train[p]) for p in parts]
+        got[f"d{size}"] = [packed(train[p] - deleted[p]) if role == 2 else b"" for p, role in zip(parts, roles)]
+        if size == 1:
             got["n_known"] = [int((train[p] > 0).sum()) for p in parts]
     return pd.DataFrame(got)[columns]
 
@@ -202,9 +204,11 @@ def power(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 0)
 
 
-def estimates(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, n: int, starts: int):
-    """(bucket, [3, tokens] maximum-likelihood estimates of the orders 3, 2 and 1) of a text's tokens."""
+def estimates(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray | None, n: int, starts: int):
+    """(bucket, [3, tokens] maximum-likelihood estimates of the orders 3, 2 and 1) of a text's tokens; no c3: that of order 3 is 0."""
     v1, v2 = contexts(c1, starts), contexts(c2, starts)
+    if c3 is None:
+        v2, c3 = np.zeros_like(v2), np.zeros_like(c2)
     ratio = lambda c, v: np.divide(c, v, out=np.zeros(len(v)), where=v > 0)
     bucket = np.where(v2 > 0, POWERS_OF_COUNT + power(v2), power(v1))
     return bucket, np.stack([ratio(c3, v2), ratio(c2, v1), c1 / max(n, 1)])
@@ -221,7 +225,7 @@ def learn_weights(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.n
     weights = np.tile([0.3, 0.3, 0.3, 0.1], (2 * POWERS_OF_COUNT + 1, 1))
     weights[: POWERS_OF_COUNT + 1] = [0.0, 0.4, 0.5, 0.1]  # the two words before were never seen together
     weights[0] = [0.0, 0.0, 0.8, 0.2]  # nor the one before: contexts that were never seen say nothing
-    value = lambda c: np.where(c > 0, 2.0 ** (-(c - 1.0) / FINE), 0.0)
+    value = lambda c: np.where(c > 0, 2.0 ** (-np.maximum(c - 1.5, 0.0) / FINE), 0.0)
     for b, rows in cells.groupby("bucket"):
         n = rows["n"].to_numpy(float)
         p = np.stack([*(value(rows[c].to_numpy(float)) for c in ("p3", "p2", "p1")), np.full(len(rows), uniform)])
@@ -235,7 +239,7 @@ def learn_weights(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.n
     return weights
 
 
-def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, order: int = ORDER) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     training and deleted: booleans over the column `id`; a row is held out where training is false, and its tokens help
@@ -252,9 +256,9 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
     role = F.when(~training, 0).when(deleted, 2).otherwise(1)
     # Ids travel as text: pandas would make floats of longs beside nulls.
     dealt = rows.select(F.col("id").cast("string").alias("id"), "text", role.alias("role"), F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: ask(key, pdf, chunks, key_bits), "range int, kind int, chunk int, keys binary, train binary, deleted binary")
+    asked = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: ask(key, pdf, chunks, key_bits, order), "range int, kind int, chunk int, keys binary, train binary, deleted binary")
     answers = asked.groupBy("range").applyInPandas(answer, "chunk int, range int, kind int, train binary, deleted binary, v long, v_kept long")
-    looked = settle(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda key, docs, answers: look_up(key, docs, answers, key_bits), LOOKED_UP), "ngram")
+    looked = settle(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda key, docs, answers: look_up(key, docs, answers, key_bits, order), LOOKED_UP), "ngram")
 
     sums = looked.agg(
         F.sum(F.when(F.col("role") > 0, F.col("n_tokens"))).alias("n"),
