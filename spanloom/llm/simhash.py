@@ -70,13 +70,12 @@ def majority_bits(h: np.ndarray) -> np.ndarray:
 
 def widened(h: np.ndarray, width: int) -> np.ndarray:
     """[n] hashes -> [n, width] independent hashes by a 64-bit finaliser with one odd constant for each column."""
-    out = np.empty((len(h), width), dtype=np.uint64)
-    for c in range(width):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * (c + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, c] = x ^ (x >> np.uint64(31))
-    return out
+    x = h + (np.uint64(0x9E3779B97F4A7C15) * np.arange(1, width + 1, dtype=np.uint64))[:, None]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x.T
 
 
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
