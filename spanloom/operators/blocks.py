@@ -88,12 +88,12 @@ def covered_glyphs(glyphs: DataFrame, detections: DataFrame) -> DataFrame:
     """Interval join: glyphs (with start) and detections (doc_id, page, block, kind, d_start, d_length) that overlap.
 
     Both sides meet on the characters that they take, and a pair counts at the first of them, so that the work is that of the
-    characters and not of all pairs of a block.
+    characters and not of all pairs of a block. Sizes of exploded rows are guessed far too low, so the join is sorted, never broadcast.
     """
     end, d_end = F.col("start") + F.length("text"), F.col("d_start") + F.col("d_length")
     left = glyphs.withColumn("_at", F.explode(F.sequence(F.col("start"), F.greatest(F.col("start"), end - 1))))
     right = detections.where("d_length > 0").withColumn("_at", F.explode(F.sequence(F.col("d_start"), d_end - 1)))
-    met = left.join(right, [*BLOCK, "_at"]).where(F.col("_at") == F.greatest("start", "d_start"))
+    met = left.join(right.hint("merge"), [*BLOCK, "_at"]).where(F.col("_at") == F.greatest("start", "d_start"))
     return met.where((F.col("start") < d_end) & (F.col("d_start") < end)).drop("_at")
 
 
