@@ -102,12 +102,16 @@ def flat_detections(blocks: DataFrame) -> DataFrame:
 
 
 def text_runs(glyphs: DataFrame, detections: DataFrame) -> DataFrame:
-    """Maximal runs of uncovered glyphs inside a word: (.., line, word, run, text, x, y, glyphs). A run that ends its word gets a space."""
+    """Maximal runs of uncovered glyphs inside a word: (.., line, word, run, text, x, y, glyphs). A run that ends its word gets a space.
+
+    Glyphs with a null in their place are left out: no detection meets them.
+    """
     place = [*BLOCK, "line", "word"]
-    left = glyphs.join(covered_glyphs(glyphs, detections).select(*place, "glyph").distinct(), [*place, "glyph"], "left_anti")
-    last = glyphs.groupBy(*place).agg(F.max("glyph").alias("last_glyph"))
+    covered = covered_glyphs(glyphs, detections).select(*place, "glyph").distinct()
+    ended = glyphs.dropna(subset=place).withColumn("last_glyph", F.max("glyph").over(Window.partitionBy(*place)))
+    left = ended.join(covered.hint("merge"), [*place, "glyph"], "left_anti")
     order = Window.partitionBy(*place).orderBy("glyph")
-    islands = left.withColumn("run", F.col("glyph") - F.row_number().over(order)).join(last, place)
+    islands = left.withColumn("run", F.col("glyph") - F.row_number().over(order))
     entry = F.struct("glyph", "text", F.col("base_x").alias("x"), F.col("base_y").alias("y"), "end_x", "end_y")
     out = islands.groupBy(*place, "run", "last_glyph").agg(
         F.array_sort(F.collect_list(entry)).alias("g"),
