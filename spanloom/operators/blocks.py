@@ -170,13 +170,16 @@ def _svg_text(text: Column, x: Column, y: Column, size: Column, family: Column,
 
 
 def page_svg(pages: DataFrame, runs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """pages (doc_id, page, width, height) -> (doc_id, page, svg). y runs downwards; parts without finite geometry are left out."""
+    """pages (doc_id, page, width, height) -> (doc_id, page, svg). y runs downwards; parts without finite geometry are left out.
+
+    Pages may be as many as the corpus has, however small Spark takes them: the joins are sorted, never broadcast.
+    """
     key = ["doc_id", "page"]
-    g = runs.select(*BLOCK, "line", "word", "run", F.posexplode("glyphs").alias("i", "g"), "point_size", "bold", "italic", "family", "angle").join(pages, key)
+    g = runs.select(*BLOCK, "line", "word", "run", F.posexplode("glyphs").alias("i", "g"), "point_size", "bold", "italic", "family", "angle").join(pages.hint("merge"), key)
     g = g.where(_finite(F.col("g.x"), F.col("g.y"), F.col("point_size"), F.col("angle")))
     drawn = g.select(*key, F.struct(F.lit(0).alias("layer"), "block", "line", "word", F.col("run").cast("double").alias("a"), F.col("i").cast("double").alias("b")).alias("o"),
         _svg_text(F.col("g.text"), F.col("g.x"), F.col("height") - F.col("g.y"), F.col("point_size"), F.col("family"), F.col("bold"), F.col("italic"), "black", F.col("angle")).alias("e"))
-    b = boxes.join(pages, key).where(_finite(*[F.col(c) for c in ("left", "right", "top", "bottom", "label_x", "label_y", "label_size", "angle")]))
+    b = boxes.join(pages.hint("merge"), key).where(_finite(*[F.col(c) for c in ("left", "right", "top", "bottom", "label_x", "label_y", "label_size", "angle")]))
     n = lambda v: trimmed_number(v, 3)
     rect = F.concat(
         F.lit('<rect x="'), n(F.col("left")), F.lit('" y="'), n(F.col("height") - F.col("top")), F.lit('" width="'), n(F.col("right") - F.col("left")),
@@ -188,7 +191,7 @@ def page_svg(pages: DataFrame, runs: DataFrame, boxes: DataFrame) -> DataFrame:
     w, h = n(F.col("width")), n(F.col("height"))
     head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), w, F.lit('" height="'), h, F.lit('" viewBox="0 0 '), w, F.lit(" "), h, F.lit('">'))
     text = F.coalesce(F.array_join(F.transform("l", lambda x: x.e), ""), F.lit(""))
-    return pages.join(body, key, "left").select(*key, F.concat(head, text, F.lit("</svg>")).alias("svg"))
+    return pages.join(body.hint("merge"), key, "left").select(*key, F.concat(head, text, F.lit("</svg>")).alias("svg"))
 
 
 def within_page_limits(pages: DataFrame, max_pages: int = 2000, max_chars: int = 5_000_000) -> DataFrame:

@@ -13,7 +13,7 @@ def broadcasts(df):
     return plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", ["glyph_boxes", "text_runs"])
+@pytest.mark.parametrize("name", ["glyph_boxes", "text_runs", "page_svg"])
 def test_layout_joins_are_not_broadcast(spark, name):
     """Glyphs come from exploded texts, whose size Spark guesses from the keys alone: a broadcast of them fills the driver."""
     assert broadcasts(catalogue.QUERIES[name](spark, SF)) == 0
