@@ -16,7 +16,7 @@ from spanloom.operators import blocks, detectors, redact, segments, throughput
 from spanloom.operators.resolve import DETECTIONS, resolve
 from spanloom.options import RedactionOptions, bind_form, parse_request
 from spanloom.plans import routes
-from spanloom.scratch import shared_folder
+from spanloom.scratch import settle, shared_folder
 from spanloom.sources import docx, routing, text_files
 from spanloom.streaming.redaction import redact_stream, windowed_report
 
@@ -799,7 +799,9 @@ def _sql_text(x: str, y: str, size: str, family: str, fill: str, text: str) -> s
     select id as doc_id, '<svg xmlns="http://www.w3.org/2000/svg" width="612" height="792" viewBox="0 0 612 792">' || string_agg(e, '' order by y, o) || '</svg>' as svg from parts group by id"""
 )
 def page_svg(spark, sf_dir):
+    """Runs and boxes both read the detections, which are settled so that the detectors run once and the plan stays small."""
     glyphs, found = _block_parts(spark, sf_dir)
+    found = settle(found, "spans")
     pages = glyphs.select("doc_id", "page").distinct().withColumn("width", F.lit(612.0)).withColumn("height", F.lit(792.0))
     return blocks.page_svg(pages, blocks.text_runs(glyphs, found), blocks.redaction_boxes(glyphs, found, CONTACTS)).select("doc_id", "svg")
 

@@ -28,3 +28,8 @@ def test_text_runs_leave_out_glyphs_without_place(spark):
     )
     found = spark.sql("select doc_id, 1 as page, 0 as block, 'Date' as kind, 0 as d_start, 1 as d_length from values (2L), (cast(null as bigint)) as t(doc_id)")
     assert [(r.doc_id, r.text) for r in blocks.text_runs(glyphs, found).collect()] == [(1, "a ")]
+
+
+def test_page_svg_detects_once(spark):
+    """Runs and boxes read one settled table of detections."""
+    assert any("spanloom-spans" in f for f in catalogue.page_svg(spark, SF).inputFiles())
